@@ -54,3 +54,14 @@ def ascii_lower(column: Column) -> Column:
 def workers(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """text less the code points of spans, an array of (start, end) in order of start; overlapping ones count once."""
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("kept"))
+
+    def step(state, cut):
+        kept = F.concat(state["kept"], F.substr(text, state["at"].cast("int") + 1, F.greatest(cut["start"] - state["at"], F.lit(0)).cast("int")))
+        return F.struct(F.greatest(state["at"], cut["end"]).alias("at"), kept.alias("kept"))
+
+    return F.aggregate(spans, first, step, lambda s: F.concat(s["kept"], F.substr(text, s["at"].cast("int") + 1)))

@@ -22,8 +22,12 @@ from orelode.llm.common import ascii_lower
 _STRIP = " \t\n\x0b\x0c\r"
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """docs with text_col rebuilt from the lines that stay, and n_lines and n_dropped."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, most_share: float | None = None) -> DataFrame:
+    """docs with text_col rebuilt from the lines that stay, and n_lines and n_dropped.
+
+    With most_share, a text that would lose more than this share of its characters is left as it is (n_dropped 0): shared
+    lines that make up most of a text make it a copy, which is a near-duplicate stage's to settle, not boilerplate.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(F.lit(1), F.col(id_col).cast("string"), text)
     one = F.struct(F.xxhash64("key").alias("a"), F.xxhash64(F.lit(7), "key").alias("b"))
@@ -43,4 +47,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # places that stay, in order (a hash set inside, so linear in the lines), then the lines at them
     places = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.col("_ld_gone"))
     kept = F.array_join(F.transform(places, lambda i: F.get(F.col("_ld_lines"), i)), "\n")
+    if most_share is not None:
+        cut = cut.withColumn("_ld_kept", F.when(F.col("n_dropped") > 0, kept))
+        alone = F.length(text) - F.length("_ld_kept") > F.length(text) * most_share
+        cut, kept = cut.withColumn("n_dropped", F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_dropped"))), F.col("_ld_kept")
+        return cut.withColumn(text_col, F.when(F.col("n_dropped") == 0, F.col(text_col).cast("string")).otherwise(kept)).drop("_ld_lines", "_ld_gone", "_ld_kept")
     return cut.withColumn(text_col, F.when(F.col("n_dropped") == 0, F.col(text_col).cast("string")).otherwise(kept)).drop("_ld_lines", "_ld_gone")
