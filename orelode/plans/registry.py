@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from orelode.plans import kernels
+
+QUERIES = {**kernels.QUERIES}
+ORACLES = {**kernels.ORACLES}
