@@ -1,0 +1,409 @@
+"""The training-data operators against brute force on small tables: nulls, empty and long texts, ties, repeats, extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from orelode.llm import decontaminate, jaccard, langid, linededup, neardup_vectors, packing, pii, shingles, substrings, tokenfile, tokens, urlrules
+
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+DOCS = "doc_id long, text string, extra string, n_lines int, component_id string"
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def corpus(spark, texts):
+    return spark.createDataFrame([(i, t, "x", 7, "y") for i, t in texts], DOCS)
+
+
+@pytest.fixture(scope="module")
+def awkward():
+    rng = random.Random(5)
+    base = prose(rng, 120)
+    near = base.split()
+    near[60] = "changed"
+    return [
+        (1, None), (2, ""), (3, "   \n\t"), (4, base), (5, base), (5, base), (6, " ".join(near)), (7, base.upper()), (None, "no id here"), (8, "é ü ☃ words"), (9, "one"), (10, "one two"), (11, "One TWO"),
+        (12, prose(rng, 9000)), (13, "a\n\n\nb  c \x1f d\n"), (14, "12345 678"),
+    ]
+
+
+# -- 1 ---------------------------------------------------------------------------------
+
+
+def test_language_id(spark):
+    rng = random.Random(1)
+    alphabets = {"xx": "abcdefg ", "yy": "nopqrst ", "zz": "éèêàçñü "}
+    rows = [(i, "".join(rng.choice(a) for _ in range(rng.randrange(20, 300))), lang) for i, (lang, a) in enumerate(list(alphabets.items()) * 60)]
+    odd = [(1000, None, "xx"), (1001, "", None), (1002, "123 !!", "yy"), (None, "nopq nopq", None), (1003, "abc " * 5000, None)]
+    out = {r["doc_id"]: r for r in langid.language_id(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert len(out) == len(rows) + len(odd)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert held and all(out[i]["held_out"] for i, *_ in held)
+    assert sum(out[i]["lang_pred"] == lang for i, _, lang in held) >= 0.97 * len(held)
+    assert [(out[i]["lang_pred"], out[i]["score"]) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    assert out[None]["lang_pred"] == "yy" and out[None]["held_out"] and out[1003]["lang_pred"] == "xx"
+    assert all(0 <= r["score"] <= 1 for r in out.values())
+
+
+def test_language_id_without_labels(spark):
+    out = langid.language_id(spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")).collect()
+    assert [(r["lang_pred"], r["score"]) for r in out] == [("und", 0.0)]
+    assert langid.language_id(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+# -- 2 ---------------------------------------------------------------------------------
+
+
+def test_line_dedup(spark, awkward):
+    texts = [*awkward, *[(100 + i, f"own line {i}\n  SHARED line\t\nend {i}\nshared LINE") for i in range(10)], *[(200 + i, f"rare\nown {i}") for i in range(9)], (300, "rare\n" * 40 + "x")]
+    out = defaultdict(list)
+    for r in linededup.line_dedup(corpus(spark, texts), min_docs=10).collect():
+        out[r["doc_id"]].append(r)
+    key = lambda line: line.encode().translate(LOWER).strip(b" \t\n\x0b\x0c\r")
+    seen = defaultdict(set)
+    for i, t in texts:
+        for line in (t or "").split("\n"):
+            seen[key(line)].add(i)
+    for i, t in texts:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not key(x) or len(seen[key(x)]) < 10]
+        assert any((r["n_lines"], r["n_dropped"], r["text"] or "") == (len(lines), len(lines) - len(kept), "\n".join(kept)) for r in out[i]), i
+    assert sum(map(len, out.values())) == len(texts) and all(r["extra"] == "x" for rs in out.values() for r in rs)
+    assert "rare" in out[200][0]["text"].split("\n")[:1] or len(seen[b"rare"]) >= 10
+
+
+def test_line_dedup_leaves_copies(spark):
+    texts = [(i, "same first line\nsame second line") for i in range(12)] + [(50 + i, f"a long line that only this text has, number {i}\nsame first line") for i in range(3)]
+    out = {r["doc_id"]: r for r in linededup.line_dedup(corpus(spark, texts), min_docs=10, most_share=0.5).collect()}
+    assert out[0]["text"] == texts[0][1] and out[0]["n_dropped"] == 0
+    assert out[50]["text"] == "a long line that only this text has, number 0" and out[50]["n_dropped"] == 1
+
+
+# -- 3, 8 ------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary())
+    t.encode_special_tokens = True
+    return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+
+
+def test_encoder_equals_library(library):
+    texts = ["a\n\nb", "a b\nc", "a\n\n", "x  y", "x \n y", "<|endoftext|> a", "a\u00a0b c", "é ü\nß ", "it's I'll\ndon't", "\n", "a\x00b", " a", "a\r\nb", "1 23\n\n4", "a\u200bb c", "a\x1fb c", "", None, "w " * 3000 + "w", "\u2028 x"]
+    tool = tokens.Encoder(tokens.vocabulary())
+    for _ in range(3):  # from the library, on trial, from the cache
+        assert [np.frombuffer(x, "<u4").tolist() for x in tool.encode(texts)] == [library(x)[:-1].tolist() for x in texts]
+
+
+def test_packing(spark, awkward, library):
+    rng = random.Random(2)
+    texts = awkward + [(1000 + i, prose(rng, rng.randrange(1, 900), 50)) for i in range(300)]
+    for group in (10_000, 40):
+        rows = packing.best_fit_packing(corpus(spark, texts), tokens.vocabulary(), 2048, group=group, meet=3).collect()
+        bins, by = defaultdict(list), defaultdict(list)
+        for r in rows:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+            by[r["doc_id"]].append(r)
+        for b in bins.values():
+            at = 0
+            for offset, n in sorted(b):
+                assert offset == at
+                at += n
+            assert at <= 2048
+        wanted = Counter()
+        for i, t in texts:
+            ids, at = library(t), 0
+            while at < len(ids):
+                stop = at + ((len(ids) - at) % 2048 or 2048)
+                wanted[i, at, stop - at, zlib.crc32(ids[at:stop].tobytes())] += 1
+                at = stop
+        assert wanted == Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+        lengths = np.array([r["length"] for r in rows])
+        assert packing.lower_bound(lengths, 2048) <= len(bins) <= packing.lower_bound(lengths, 2048) + (1 if group > 1000 else 8)
+
+
+def test_lower_bound_and_best_fit():
+    rng = np.random.default_rng(3)
+    assert packing.lower_bound(np.array([], int), 10) == 0
+    assert packing.lower_bound(np.array([6, 6, 6, 5]), 10) == 4 or packing.lower_bound(np.array([6, 6, 6]), 10) == 3
+    for _ in range(30):
+        lengths = np.sort(rng.integers(1, 101, rng.integers(1, 200)))[::-1]
+        bins, offsets, fill = packing.best_fit_decreasing(lengths, 100)
+        assert np.bincount(bins, lengths).max() <= 100 and (np.bincount(bins, lengths) == fill).all()
+        assert packing.lower_bound(lengths, 100) <= len(fill) <= 1.25 * packing.lower_bound(lengths, 100) + 1
+
+
+def test_token_files(spark, awkward, library):
+    rows = tokenfile.checksums(tokenfile.read_tokens(spark, tokenfile.write_tokens(corpus(spark, awkward), tokens.vocabulary(), block_ids=500))).collect()
+    order = sorted(awkward, key=lambda x: (x[0] is not None, x[0], x[1] is not None, x[1]))
+    at, wanted = 0, []
+    for i, t in order:
+        ids = library(t)
+        wanted.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, rows), key=lambda r: r[1]) == wanted
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert tokenfile.read_tokens(spark, tokenfile.write_tokens(empty, tokens.vocabulary())).collect() == []
+
+
+def test_codes_round_trip():
+    for values in ([], [0], [255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], list(range(0, 70_000, 7))):
+        codes = np.array(values, np.uint32)
+        control, data = tokenfile.encode_codes(codes)
+        assert len(control) == -(-len(values) // 4) and (tokenfile.decode_codes(control, data, len(values)) == codes).all()
+
+
+# -- 4 ---------------------------------------------------------------------------------
+
+
+def components_of(sets, links):
+    label = {i: i for i in sets}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        label[b] = a
+    return {i: top(i) for i in sets}
+
+
+@pytest.mark.parametrize(("k", "num", "large"), [(3, 90, 64), (5, 80, 64), (3, 90, 2)])
+def test_jaccard_join(spark, awkward, monkeypatch, k, num, large):
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    monkeypatch.setattr(jaccard, "BLOCK", 4 if large == 2 else 512)
+    rng = random.Random(7)
+    texts = {i: t for i, t in awkward if i is not None}
+    passage = prose(rng, 30)
+    for g in range(25):  # groups of near copies of all sizes, with a passage that all share
+        base = prose(rng, rng.choice([3, 6, 9, 14, 30, 90, 400])).split()
+        for c in range(rng.choice([2, 3, 9])):
+            words = list(base)
+            for _ in range(rng.randrange(0, 2 + len(words) // 40)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(9)}"
+            texts[1000 + g * 10 + c] = " ".join(words) + (" " + passage if g % 2 else "")
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().translate(LOWER).split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    wanted = components_of(sets, links)
+    got = {r["doc_id"]: r for r in jaccard.jaccard_components(corpus(spark, list(texts.items())), k, num).collect()}
+    assert len(links) > 20 and {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(sets[i]), wanted[i]) for i in ids}
+
+
+def test_near_duplicates_keep_one(spark, awkward):
+    kept = jaccard.near_duplicates(corpus(spark, awkward)).collect()
+    ids = Counter(r["doc_id"] for r in kept)
+    assert ids[4] == 1 and ids[5] == ids[6] == ids[7] == 0 and ids[10] == 1 and ids[11] == 0
+    assert all(ids[i] == 1 for i in (1, 2, 3, 8, 9, 12, 13, 14, None)) and kept[0]["extra"] == "x"
+    assert jaccard.jaccard_components(corpus(spark, [])).collect() == []
+
+
+def test_signatures_lose_no_pair():
+    rng = np.random.default_rng(9)
+    for num in (80, 90):
+        for size in (5, 9, 12, 25, 60, 150, 700):
+            most = 2 * size * (100 - num) // (100 + num)
+            for _ in range(40):
+                a = np.unique(shingles.mix(rng.integers(0, 1 << 62, size).astype(np.uint64)))
+                drop, add = (lambda d: (d // 2, d - d // 2))(int(rng.integers(0, most + 1)))
+                b = np.unique(np.concatenate([rng.permutation(a)[drop:], shingles.mix(rng.integers(0, 1 << 62, add).astype(np.uint64))]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= num * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+                    assert np.intersect1d(jaccard.signatures(a, num, 100), jaccard.signatures(b, num, 100)).size
+
+
+# -- 5 ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 200])
+def test_decontamination(spark, awkward, slice_bytes):
+    rng = random.Random(11)
+    items = [("q1", prose(rng, 30)), ("q2", prose(rng, 13)), ("q3", "Short ITEM here"), ("q4", None), ("q5", "..."), ("q6", "w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1"), ("q3b", "short item HERE")]
+    q = items[0][1].split()
+    texts = [*awkward, (500, prose(rng, 40) + " " + items[0][1].upper() + " tail"), (501, "x " * 900 + ", ".join(q[5:18])), (502, " ".join(q[:12])), (503, "é short-item!here ü"), (504, "w1 " * 30)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: pattern.findall((t or "").encode().translate(LOWER).decode())
+    windows = defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        for j in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[j : j + 13])].add(i)
+    wanted = Counter()
+    for i, t in texts:
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for j in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[j : j + n])):
+                    found |= own
+                    hit.update(range(j, j + n))
+        wanted[i, len(w), len(hit), tuple(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)] += 1
+    rows = decontaminate.decontaminate(corpus(spark, texts), benchmark, slice_bytes=slice_bytes).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["hit_items"]), r["contaminated"]) for r in rows) == wanted
+    by = dict(texts)
+    for r in rows:
+        assert sum(len(split(by[r["doc_id"]][s["start"] : s["end"]])) for s in r["hit_spans"]) == r["n_hit"]
+
+
+# -- 6 ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_embeddings(spark, block):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    x = [centres[i % 12] + rng.normal(size=16) * rng.choice([0.05, 0.25, 1.5]) for i in range(240)]
+    x += [x[0], x[0], x[5] * 3]
+    rows = [(i, [float(np.float32(v)) for v in a], 1) for i, a in enumerate(x)]
+    odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1), (904, [], 1), (905, [1.0, 2.0], 1), (906, [float("inf")] * 16, 1)]
+    out = {r["vec_id"]: r for r in neardup_vectors.embedding_components(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int"), block=block).collect()}
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    linked = v @ v.T >= 0.95
+    np.fill_diagonal(linked, False)
+    wanted = components_of(dict.fromkeys(range(len(v))), zip(*np.nonzero(np.triu(linked)), strict=True))
+    for i in range(len(v)):
+        assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (linked[i].sum(), wanted[i], wanted[i] == i)
+    assert all((out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (0, i, True) for i, *_ in odd)
+
+
+def test_cells_cover_all_links():
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(40, 8)), 10, axis=0) + rng.normal(size=(400, 8)) * 0.12
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    home, inside = neardup_vectors.cells_of(x, neardup_vectors.spherical_kmeans(x, 16), 0.95)
+    a, b = np.nonzero(x @ x.T >= 0.95)
+    assert inside[a, home[b]].all() and inside.mean() < 0.9
+
+
+# -- 7 ---------------------------------------------------------------------------------
+
+
+def test_pii(spark, awkward):
+    texts = [
+        *awkward, (20, "a@b.c_d@e.f x@y a@b@c.d é@x.y.z.."), (21, "1.2.3.4.5.6.7.8 300.1.1.1 0255.1.1.1"), (22, "☃ +1 (487) 555-7209 and +49 301234567."), (23, "4736962573099581 4111 1111 1111 1111 4736962573099582"),
+        (24, "9" * 5000), (25, "a" * 50_000 + "@b"), (26, "+1" + " " * 20_000), (27, "1 " * 20_000), (28, "GB82 WEST 1234 5698 7654 32"), (29, "GB82 WEST 1234 5698 7654 33"), (30, "my ssn 123-45-6789"), (31, "123-45-6789"), (32, "call 555-123-4567"),
+    ]
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(digits):
+        total = 0
+        for i, c in enumerate(reversed(digits)):
+            n = int(c) * (1 + i % 2)
+            total += n - 9 * (n > 9)
+        return total % 10 == 0
+
+    def base(text):
+        found = []
+        for place, (kind, pattern) in enumerate(patterns.items()):
+            if kind == "email" and len(text) > 40_000:
+                continue
+            for m in re.finditer(pattern, text):
+                d = re.sub("[^0-9]", "", m[0])
+                if kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 12 <= len(d) <= 19 and luhn(d) or kind == "phone" and 9 <= len(d) <= 15:
+                    found.append((m.start(), place, f"{kind}:{m.start()}:{m.end()}"))
+        return sorted(found)
+
+    rows = {(r["doc_id"]): r for r in pii.pii_digest(corpus(spark, texts)).collect()}
+    for i, t in texts:
+        found = base(t or "")
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(x[2] for x in found).encode()).hexdigest(), i
+        assert [rows[i][f"n_{k}"] for k in patterns] == [sum(x[1] == p for x in found) for p in range(4)]
+        assert {x[2] for x in found} <= set(rows[i]["spans"].split(","))
+    more = {i: [s for s in rows[i]["spans"].split(",") if s.split(":")[0] not in patterns and s] for i in (28, 29, 30, 31, 32)}
+    assert more == {28: ["iban:0:27"], 29: [], 30: ["ssn:7:18"], 31: [], 32: ["local_phone:5:17"]}
+
+
+# -- 9 ---------------------------------------------------------------------------------
+
+
+def test_url_rules(spark):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/x", "block"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.b.example.com", "/", "allow"), ("net", "/", "allow"), ("", "/", "block")]
+    hosts = ["net", "NET", "example.net", "a.example.net", "net-x", "xnet", "example.com", "b.example.com", "a.b.example.com", "z.a.b.example.com", "org", "example.org", "net.", "", "a.net:80"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en/xy", "/de/q?x=1", "/fr/#t", "?a/b", "#c")] + [None, "", "no scheme", "x://", "a://b://c/d"]
+    pages = spark.createDataFrame([(i, u, "h", "old") for i, u in enumerate(urls + ["http://net/en/"] * 30)], "page_id long, url string, html string, host string")
+    out = url_out = {r["page_id"]: r for r in urlrules.url_rules(pages, urlrules.rules_table(spark, rules)).collect()}
+    assert len(url_out) == len(urls) + 30
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        raw = re.match(r"[^/?#]*", rest)[0]
+        host, path = raw.lower(), re.match(r"[^?#]*", rest[len(raw) :])[0]
+        fit = [(len(h + p), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=(0, None, "allow"))
+        assert (out[i]["host"], out[i]["path"], out[i]["rule"], out[i]["verdict"], out[i]["html"]) == (host, path, best[1], best[2], "h"), u
+    assert urlrules.url_rules(pages.limit(0), urlrules.rules_table(spark, rules)).collect() == []
+
+
+# -- 10 --------------------------------------------------------------------------------
+
+
+def test_repeated_passages(spark, awkward):
+    rng = random.Random(13)
+    passage = prose(rng, 70, 5000).split()
+    fuzzy = list(passage)
+    fuzzy[33] = "edited"
+    texts = [*awkward]
+    for i in range(12):
+        body = fuzzy if i % 3 == 2 else passage
+        texts.append((100 + i, f"{prose(rng, 40 + i, 5000)} é {' '.join(body)} {prose(rng, 30, 5000)}"))
+    texts += [(200 + i, prose(rng, 200, 5000)) for i in range(10)]
+    texts += [(300 + i, f"{prose(rng, 60, 5000)} {' '.join(passage[:30])} {prose(rng, 60, 5000)}") for i in range(3)]
+    docs = corpus(spark, texts)
+    found = substrings.repeated_passages(docs)
+    rows = found.collect()
+    seen = {i for r in rows for i in (r["doc_id"], r["other_id"])}
+    assert set(range(100, 112)) <= seen and {4, 5, 6, 7} <= seen
+    assert not seen & {200, 201, 202, 203, 204, 205, 206, 207, 208, 209, 300, 301, 302, 1, 2, 9, 12}
+    by = dict(texts)
+    for r in rows:
+        words = by[r["doc_id"]].encode().translate(LOWER).split()
+        assert by[r["doc_id"]][r["start"] : r["end"]].encode().translate(LOWER).split() == words[r["start_word"] : r["end_word"]] and r["similarity"] >= 0.8
+    left = substrings.cut_passages(docs, found).filter("doc_id between 100 and 111").collect()
+    assert sum(" ".join(passage[40:60]) in r["text"] for r in left) == 1 and all(r["text"].split()[:20] == by[r["doc_id"]].split()[:20] for r in left)
+    assert substrings.repeated_passages(docs.limit(0)).collect() == []
+
+
+def test_chain_takes_collinear_matches():
+    a, b = np.array([0, 10, 20, 30, 15, 5]), np.array([100, 110, 120, 130, 7, 300])
+    best = substrings.chain(a, b, 8, 0.05)[0]
+    assert a[best].tolist() == [0, 10, 20, 30]
+
+
+def test_minimizers_are_shared_by_equal_runs():
+    rng = np.random.default_rng(6)
+    run = rng.integers(0, 1 << 60, 12).astype(np.uint64)
+    a, b = (np.concatenate([rng.integers(0, 1 << 60, n).astype(np.uint64), run, rng.integers(0, 1 << 60, 9).astype(np.uint64)]) for n in (30, 17))
+    assert set(a[substrings.minimizers(a, 12)]) & set(b[substrings.minimizers(b, 12)]) & set(run)
+
+
+def test_shingles_equal_only_for_equal_words():
+    sets = shingles.shingle_sets(["A b c d", "a  B\tc d", "a b c", "ab c d", None, "", "x", "é É x"], 3)
+    assert (sets[0] == sets[1]).all() and np.isin(sets[2], sets[0]).all() and not np.isin(sets[3], sets[0]).any()
+    assert [len(s) for s in sets] == [2, 2, 1, 1, 0, 0, 1, 1]
+    assert shingles.fingerprint(sets[0]) == shingles.fingerprint(sets[1]) != shingles.fingerprint(sets[2])
+
+
+def test_components_of_a_long_chain(spark, tmp_path):
+    from orelode.llm.common import Scratch
+    from orelode.llm.components import components
+
+    links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    out = components(links.union(spark.createDataFrame([(1000, 1001)], "a long, b long")), Scratch(spark, "t"), "c").collect()
+    assert {r["label"] for r in out if r["node"] <= 300} == {0} and {r["label"] for r in out if r["node"] > 300} == {1000}
