@@ -403,11 +403,11 @@ def restating_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i(ord, pat, signal) AS (VALUES (0, NULL, 'login'), (1, 1, 'click'), (2, 3, 'view'))
+WITH i(ord, pat, signal) AS (VALUES (0, NULL, 'error'), (1, 1, 'click'), (2, 3, 'view'))
 SELECT e.event_type AS signal, count(*) AS ignored FROM events e WHERE EXISTS (SELECT 1 FROM i WHERE i.signal = e.event_type AND (pat IS NULL OR e.user_id % 4 = pat)) GROUP BY 1""")
 def config_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: findings that a configured ignore list (global, or by pattern) takes out, counted by signal."""
-    ignores = spark.createDataFrame([(None, "login"), (1, "click"), (3, "view")], "pat int, signal string")
+    ignores = spark.createDataFrame([(None, "error"), (1, "click"), (3, "view")], "pat int, signal string")
     events = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("signal"), (F.col("user_id") % 4).alias("u"))
     hit = events.join(F.broadcast(ignores), (events.signal == ignores.signal) & (F.col("pat").isNull() | (F.col("u") == F.col("pat"))), "left_semi")
     return hit.groupBy("signal").agg(F.count(F.lit(1)).alias("ignored"))
