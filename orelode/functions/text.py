@@ -16,9 +16,10 @@ def content_words(text: Column, least: int = 3) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    size = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
+    # n shifted slices side by side: linear, however often the optimizer copies the expression
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(tokens, F.lit(i + 1), count).alias(f"t{i}") for i in range(n)])
+    return F.transform(shifted, lambda x: F.concat_ws(" ", *[x[f"t{i}"] for i in range(n)]))
 
 
 def risk_points(callers: Column, tested: Column, sensitive: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def bigrams(tokens: Column) -> Column:
     """Numbered bigrams (text, repeat number), so that a multiset is a set: the k-th repeat is an element of its own."""
-    n = F.size(tokens)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws("\x01", F.element_at(tokens, i), F.element_at(tokens, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return pairs
+    # two shifted slices side by side: linear, however often the optimizer copies the expression
+    rest = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), rest), F.slice(tokens, F.lit(2), rest), lambda a, b: F.concat_ws("\x01", a, b))
 
 
 def dice_pairs(df: DataFrame, id_col: str, tokens_col: str, threshold_pct: int = 90, language: str | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def dice_pairs(df: DataFrame, id_col: str, tokens_col: str, threshold_pct: int =
     are joined; candidates are verified on whole sets by array_intersect. A frequent bigram stands last in every set.
     """
     t = threshold_pct
-    base = df.select(F.col(id_col).alias("id"), (F.col(language) if language else F.lit("")).alias("lang"), F.size(tokens_col).alias("len"), bigrams(F.col(tokens_col)).alias("grams")).filter(F.size("grams") > 0)
+    base = df.select(F.col(id_col).alias("id"), (F.col(language) if language else F.lit("")).alias("lang"), F.size(tokens_col).alias("len"), F.coalesce(bigrams(F.col(tokens_col)), F.array().cast("array<string>")).alias("grams"))
     rows = base.select("id", "lang", "len", F.size("grams").alias("n"), F.posexplode("grams").alias("pos", "gram"))
     repeat = F.row_number().over(Window.partitionBy("id", "gram").orderBy("pos"))
     rows = rows.withColumn("gram", F.concat_ws("\x02", "gram", repeat.cast("string")))

@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read again; a local folder only where that is unset (tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='orelode-')}")
         folder = _OWN[0]
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

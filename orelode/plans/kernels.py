@@ -93,30 +93,29 @@ _WORDS = "list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: leng
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, {_WORDS} AS t FROM documents WHERE n_chars < 600),
+WITH w AS (SELECT doc_id, {_WORDS} AS t FROM documents),
 g AS (SELECT doc_id, len(t) AS len, unnest(list_transform(range(1, len(t)), lambda i: t[i] || chr(1) || t[i + 1])) AS gram FROM w WHERE len(t) >= 2),
 c AS (SELECT doc_id, len, gram, count(*) AS c FROM g GROUP BY 1, 2, 3),
 n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS common FROM c a JOIN c b ON a.gram = b.gram AND a.doc_id < b.doc_id AND abs(a.len - b.len) <= greatest(2, a.len // 5) GROUP BY 1, 2)
 SELECT a, min(b) AS b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE common * 200 >= 90 * (na.n + nb.n) GROUP BY a""")
 def near_duplicate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram Dice of 0.9 within the length band; the first later partner. Texts of under 600 characters are the candidate class here."""
-    docs = read(spark, sf_dir, "documents").filter("n_chars < 600").select("doc_id", T.words(F.col("text")).alias("tokens"))
+    """Bigram Dice of 0.9 within the length band; the first later partner."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("tokens"))
     return similarity.dice_pairs(docs, "doc_id", "tokens").groupBy("a").agg(F.min("b").alias("b"))
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, lang, source, {_WORDS} AS t FROM documents WHERE n_chars < 600),
+WITH w AS (SELECT doc_id, lang, source, {_WORDS} AS t FROM documents),
 g AS (SELECT doc_id, lang, source, len(t) AS len, unnest(list_transform(range(1, len(t)), lambda i: t[i] || chr(1) || t[i + 1])) AS gram FROM w WHERE len(t) >= 2),
 c AS (SELECT doc_id, lang, source, len, gram, count(*) AS c FROM g GROUP BY ALL),
 n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS common FROM c a JOIN c b ON a.gram = b.gram AND a.lang = b.lang AND a.source <> b.source AND a.doc_id < b.doc_id AND abs(a.len - b.len) <= greatest(2, a.len // 5) GROUP BY 1, 2),
-same AS (SELECT min(doc_id) AS a, doc_id FROM documents WHERE false GROUP BY doc_id)
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS common FROM c a JOIN c b ON a.gram = b.gram AND a.lang = b.lang AND a.source <> b.source AND a.doc_id < b.doc_id AND abs(a.len - b.len) <= greatest(2, a.len // 5) GROUP BY 1, 2)
 SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE common * 200 >= 80 * (na.n + nb.n)
-AND (a, b) NOT IN (SELECT x.doc_id, y.doc_id FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id WHERE x.n_chars < 600)""")
+AND (a, b) NOT IN (SELECT x.doc_id, y.doc_id FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id)""")
 def near_duplicate_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with an equal key (lang) and a differing one (source), less the pairs already reported as equal."""
-    docs = read(spark, sf_dir, "documents").filter("n_chars < 600").select("doc_id", "lang", "source", F.xxhash64("text").alias("h"), "text", T.words(F.col("text")).alias("tokens"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.xxhash64("text").alias("h"), "text", T.words(F.col("text")).alias("tokens"))
     pairs = similarity.dice_pairs(docs, "doc_id", "tokens", 80, "lang").select("a", "b")
     left = docs.select(F.col("doc_id").alias("a"), F.col("source").alias("sa"), F.col("text").alias("ta"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("source").alias("sb"), F.col("text").alias("tb"))
@@ -124,12 +123,12 @@ def near_duplicate_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, source, {_WORDS} AS t FROM documents WHERE n_chars < 2000),
+WITH w AS (SELECT doc_id, source, {_WORDS} AS t FROM documents),
 g AS (SELECT doc_id, source, unnest(list_transform(range(1, len(t) - 3), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3] || ' ' || t[i + 4])) AS run FROM w)
 SELECT run, count(DISTINCT source) AS sources, count(DISTINCT doc_id) AS docs, count(*) AS uses, min(doc_id) AS first_doc FROM g GROUP BY run HAVING count(DISTINCT source) >= 2 AND count(*) >= 3""")
 def shared_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words in two and more modules with their distinct counts and first site."""
-    docs = read(spark, sf_dir, "documents").filter("n_chars < 2000").select("doc_id", "source", T.ngrams(T.words(F.col("text")), 5).alias("runs"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", T.ngrams(T.words(F.col("text")), 5).alias("runs"))
     uses = docs.select("doc_id", "source", F.explode("runs").alias("run"))
     sites = uses.groupBy("run", "source", "doc_id").agg(F.count(F.lit(1)).alias("u"))
     return sites.groupBy("run").agg(F.countDistinct("source").alias("sources"), F.countDistinct("doc_id").alias("docs"), F.sum("u").alias("uses"), F.min("doc_id").alias("first_doc")).filter("sources >= 2 and uses >= 3")
@@ -143,7 +142,7 @@ SELECT doc_id, pos, first_pos FROM r WHERE k = 2""")
 def repeated_line_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second place of a window of three lines within a text."""
     lines = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("t")).filter(F.size("t") >= 3)
-    blocks = lines.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.array_join(F.slice("t", i, 3), "\n"))).alias("p", "block"))
+    blocks = lines.select("doc_id", F.posexplode(F.transform(F.arrays_zip(*[F.slice("t", F.lit(i), F.size("t") - 2).alias(f"t{i}") for i in (1, 2, 3)]), lambda x: F.concat_ws("\n", x["t1"], x["t2"], x["t3"]))).alias("p", "block"))
     places = blocks.groupBy("doc_id", F.xxhash64("block").alias("h"), "block").agg(F.array_sort(F.collect_list(F.col("p").cast("long") + 1)).alias("at")).filter(F.size("at") >= 2)
     return places.select("doc_id", F.get("at", F.lit(1)).alias("pos"), F.get("at", F.lit(0)).alias("first_pos"))
 
@@ -333,12 +332,16 @@ def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolled.select(F.coalesce("p_brand", F.lit("total")).alias("package"), "covered", "valid", F.round(F.col("covered") * 100.0 / F.col("valid"), 4).alias("rate"), bar.alias("bar"))
 
 
-_FLOW = "SELECT DISTINCT c_nationkey AS src, (c_nationkey * 7 + CAST(o_orderkey % 3 AS INTEGER)) % 25 AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 40 = 0 AND c_nationkey > 3"
+_FLOW = "SELECT DISTINCT a.n_nationkey AS src, b.n_nationkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_regionkey = a.n_regionkey AND b.n_nationkey % 5 = o_orderkey % 5 WHERE a.n_nationkey <> 13"
 
 
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").filter("o_orderkey % 40 = 0").join(read(spark, sf_dir, "customer").filter("c_nationkey > 3"), F.col("c_custkey") == F.col("o_custkey"))
-    return orders.select(F.col("c_nationkey").alias("src"), ((F.col("c_nationkey") * 7 + (F.col("o_orderkey") % 3).cast("int")) % 25).alias("dst")).distinct()
+    """A graph of nations: an order leads from its customer's nation to one of the region, chosen by its key; nation 13 has no way out."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 5).alias("k")).join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    from_to = orders.select("c_nationkey", "k").distinct()
+    nation = read(spark, sf_dir, "nation")
+    a, b = nation.select(F.col("n_nationkey").alias("src"), "n_regionkey"), nation.select(F.col("n_nationkey").alias("dst"), "n_regionkey", (F.col("n_nationkey") % 5).cast("long").alias("k"))
+    return from_to.join(a, F.col("c_nationkey") == F.col("src")).join(b, ["n_regionkey", "k"]).filter("src <> 13").select("src", "dst").distinct()
 
 
 @query(f"WITH RECURSIVE e AS ({_FLOW}), r(node) AS (SELECT 4 UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r")
@@ -392,13 +395,13 @@ def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 3)) AS t FROM benchmark),
-d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 3)) AS t FROM documents WHERE n_chars < 600),
+d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) >= 3)) AS t FROM documents),
 i AS (SELECT item_id, len(t) AS n, unnest(t) AS word FROM w), j AS (SELECT doc_id, unnest(t) AS word FROM d)
 SELECT item_id, doc_id, count(*) AS shared, n AS words FROM i JOIN j USING (word) GROUP BY item_id, doc_id, n HAVING n >= 5 AND count(*) * 100 >= 50 * n""")
 def restating_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that hold half of an item's content words and more."""
     item = read(spark, sf_dir, "benchmark").select("item_id", T.content_words(F.col("text")).alias("t")).filter(F.size("t") >= 5).select("item_id", F.size("t").cast("long").alias("words"), F.explode("t").alias("word"))
-    docs = read(spark, sf_dir, "documents").filter("n_chars < 600").select("doc_id", F.explode(T.content_words(F.col("text"))).alias("word"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.content_words(F.col("text"))).alias("word"))
     return docs.join(item, "word").groupBy("item_id", "doc_id", "words").agg(F.count(F.lit(1)).alias("shared")).filter("shared * 100 >= 50 * words").select("item_id", "doc_id", "shared", "words")
 
 

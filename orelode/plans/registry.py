@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orelode.plans import kernels
+from orelode.plans import kernels, more_kernels
 
-QUERIES = {**kernels.QUERIES}
-ORACLES = {**kernels.ORACLES}
+QUERIES = {**kernels.QUERIES, **more_kernels.QUERIES}
+ORACLES = {**kernels.ORACLES, **more_kernels.ORACLES}

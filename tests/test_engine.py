@@ -120,7 +120,7 @@ def test_markdown(spark):
 
 
 def test_rust(spark):
-    source = 'pub fn big(a: u8, b: u8, c: u8, d: u8, e: u8, f: u8) -> u8 { if a > 1 && b > 2 { "if {" ; 1 } else { 2 } } // if\n#[allow(dead_code)]\nfn g() { let _ = h(); }\n'
+    source = 'pub fn big(a: u8, b: u8, c: u8, d: u8, e: u8, f: u8) -> u8 { if a > 1 && b > 2 { "if {" ; 1 } else { 2 } } // if\n\n\n#[allow(dead_code)]\nfn g() { let _ = h(); }\n'
     rows = rust_facts(spark.createDataFrame([("src/a.rs", source), ("src/e.rs", None)], "rel string, content string")).collect()
     functions = {r["name"]: r for r in rows if r["kind"] == "function"}
     assert functions["big"]["a"] == 6 and functions["big"]["b"] == 3 and {r["kind"] for r in rows} >= {"handler", "bare_ignore", "module"}
