@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 def top_fraction(df: DataFrame, count: str, tie: str, fraction: float = 0.1) -> DataFrame:
     """The floor(max(n * fraction, 1)) rows of largest count; ties go to the larger `tie`.
 
-    n is a scalar subquery's value, and the rank is a global limit in order, which Spark takes per partition first.
+    The cut is found on a histogram of counts (a row per distinct count), so the rows above it are a plain filter; only
+    rows of the cut's own count are ordered by `tie`.
     """
-    n = df.count()
-    return df.orderBy(F.desc(count), F.desc(tie)).limit(max(int(n * fraction), 1))
+    sizes = df.groupBy(F.col(count).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    total = df.count()
+    wanted = max(int(total * fraction), 1)
+    running = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("v"))))
+    cut = running.filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted)).select("v", (F.lit(wanted) - F.col("upto") + F.col("n")).alias("r")).first()
+    if cut is None:
+        return df
+    return df.filter(F.col(count) > cut["v"]).unionByName(df.filter(F.col(count) == cut["v"]).orderBy(F.desc(tie)).limit(cut["r"]))
 
 
 def minmax_rank(df: DataFrame, value: str, out: str = "priority") -> DataFrame:
-    """1 to 99 by min-max scaling with half-even rounding; 99 for all where the values are equal.
-
-    The range is one aggregated row that is joined to every row, so no window gathers all rows in one task.
-    """
-    lo_hi = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    scaled = F.bround(1 + 98 * (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), 0).cast("int")
-    rank = F.when(F.col("_hi") <= F.col("_lo"), F.lit(99)).otherwise(F.greatest(F.lit(1), scaled))
-    return df.crossJoin(F.broadcast(lo_hi)).withColumn(out, rank).drop("_lo", "_hi")
+    """1 to 99 by min-max scaling with half-even rounding; 99 for all where the values are equal. The range is a scalar subquery."""
+    lo, hi = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
+    scaled = F.bround(1 + 98 * (F.col(value) - lo) / (hi - lo), 0).cast("int")
+    return df.withColumn(out, F.when(hi <= lo, F.lit(99)).otherwise(F.greatest(F.lit(1), scaled)))
 
 
 def keep_best(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -174,10 +174,10 @@ def unused_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT DISTINCT p_type FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT event_type FROM events) e WHERE contains(lower(p_type), substr(e.event_type, 1, 2)))""")
 def mentioned_in_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in which no literal occurs; the literals are made distinct first, and their small set is an array beside each name."""
-    words = read(spark, sf_dir, "events").select(F.substring("event_type", 1, 2).alias("w")).distinct().agg(F.collect_list("w").alias("ws"))
+    """Names in which no literal occurs; the literals are made distinct first, and their small set is a scalar subquery's array."""
+    words = read(spark, sf_dir, "events").select(F.substring("event_type", 1, 2).alias("w")).distinct().agg(F.collect_list("w").alias("ws")).scalar()
     names = read(spark, sf_dir, "part").select("p_type").distinct()
-    return names.crossJoin(F.broadcast(words)).filter(~F.exists("ws", lambda w: F.lower("p_type").contains(w))).select("p_type")
+    return names.withColumn("ws", words).filter(~F.exists("ws", lambda w: F.lower("p_type").contains(w))).select("p_type")
 
 
 @query("""

@@ -240,10 +240,9 @@ def detached_method(t: Tables) -> DataFrame:
 @rule("duplicate", "warn")
 def duplicate(t: Tables) -> DataFrame:
     """The first later partner of Dice 0.9; nested functions of one file aren't partners."""
-    order = F.dense_rank().over(Window.orderBy("rel", "line", "name"))
-    # ids only need an order; files are few beside a corpus' rows, and the key columns are all this window holds
-    ids = t.prod("skeleton").select("rel", "line", "name").distinct().withColumn("id", order)
-    skeletons = t.prod("skeleton").join(ids, ["rel", "line", "name"]).select("id", "rel", "name", "line", "end", F.col("items").alias("tokens"))
+    # ids that sort as files and lines do; no window over all rows
+    key = F.format_string("%s\x01%09d\x01%s", "rel", "line", "name")
+    skeletons = t.prod("skeleton").select(key.alias("id"), "rel", "name", "line", "end", F.col("items").alias("tokens"))
     pairs = similarity.dice_pairs(skeletons, "id", "tokens")
     a = skeletons.select(F.col("id").alias("a"), "rel", "line", "end", "name")
     b = skeletons.select(F.col("id").alias("b"), F.col("rel").alias("rel_b"), F.col("line").alias("line_b"), F.col("end").alias("end_b"), F.col("name").alias("name_b"))
