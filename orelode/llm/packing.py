@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = 2048, id_col: str = "doc
     def run(batches):
         tool, task, full = encoder(vocab), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, 8 << 20):
                 rows = []
                 for row, ids in enumerate(tool.encode(part.column(1).to_pylist())):
                     ids += end

@@ -15,8 +15,8 @@ from array import array
 
 import numpy as np
 
-#: Words kept per worker before the cache keeps only those of the batch at hand, and their characters (bounded memory).
-CACHE_WORDS, CACHE_CHARS = 600_000, 12_000_000
+#: Words kept per worker, and words seen once that are kept on trial (bounded memory: words of up to 40 characters).
+CACHE_WORDS, FRESH_WORDS = 700_000, 500_000
 #: White space inside a piece of a cut text: the text then goes to the library whole.
 _ODD = re.compile(r"[^\S \n\0]|[\x1c-\x1f\x85]")
 
@@ -38,51 +38,85 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.code, self.cache, self.chars = {2: "H", 4: "I"}[np.dtype(dtype).itemsize], {"": b""}, 0
+        self.code, self.cache = {2: "H", 4: "I"}[np.dtype(dtype).itemsize], {"": b""}
+        self.fresh, self.feed = {}, self.tok.encode("\n", add_special_tokens=False).ids
+        self.cache["\n"] = self._library(["\n"])[0]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         code = self.code
         return [array(code, x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words (a space before each at most): joined by line feeds, whose id then parts them again."""
+        if len(self.feed) != 1:
+            return self._library(words)
+        texts = ["\n".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+        out, width = [], array(self.code).itemsize
+        for got in self.tok.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(got.ids, self.code)
+            data, ends = ids.tobytes(), (np.flatnonzero(ids == self.feed[0]) * width).tolist()
+            out += [data[x:y] for x, y in zip([0, *(e + width for e in ends)], [*ends, len(data)], strict=True)]
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Id bytes of each whole text; null and empty texts have none."""
-        cut = [_cut(x) if x else None for x in texts]
-        used = set().union(*(x for x in cut if isinstance(x, list)))
-        if len(self.cache) > CACHE_WORDS or self.chars > CACHE_CHARS:  # what this batch uses stays
-            self.cache = {"": b""} | {x: self.cache[x] for x in used if x in self.cache}
-            self.chars = sum(map(len, self.cache))
-        new = list(used.difference(self.cache))
-        odd = {x for x in new if _ODD.search(x)} if _ODD.search("\0".join(new)) else set()
-        for i in range(0, len(new), 20_000):
-            words = new[i : i + 20_000]
-            self.cache.update(zip(words, self._library(words), strict=True))
-            self.chars += sum(map(len, words))
-        out, get = [], self.cache.__getitem__
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(b"")
-            elif isinstance(pieces, str) or odd and not odd.isdisjoint(pieces):
+        find, wanted, work = self.cache.get, set(), []
+        for text in texts:
+            pieces = _cut(text) if text else ""
+            if isinstance(pieces, str):
+                work.append((pieces, None, None))
+                continue
+            found = list(map(find, pieces))
+            unknown = [i for i, x in enumerate(found) if x is None]
+            wanted.update([pieces[i] for i in unknown])
+            work.append((pieces, found, unknown))
+        got = {x: self.fresh.pop(x) for x in wanted if x in self.fresh}
+        if len(self.cache) + len(got) > CACHE_WORDS:
+            self.cache = {"": b"", "\n": self.cache["\n"]}
+        self.cache.update(got)  # a word that comes a second time stays
+        new = [x for x in wanted if x not in got]
+        # each piece is one run without white space, else some have white space that str.split() sees and the cut didn't
+        odd = {x for x in new if _ODD.search(x)} if len("\0".join(new).replace("\0", " ").split()) != len(new) else set()
+        words = [x for x in new if x not in odd]
+        encoded = dict(zip(words, self._words(words), strict=True))
+        if len(self.fresh) > FRESH_WORDS:
+            self.fresh = {}
+        self.fresh.update((x, y) for x, y in encoded.items() if len(x) <= 40)
+        got |= encoded
+        out = []
+        for text, (pieces, found, unknown) in zip(texts, work, strict=True):
+            if found is None:
+                out.append(self._library([pieces])[0] if pieces else b"")
+            elif odd and not odd.isdisjoint(pieces):
                 out.append(self._library([text])[0])
             else:
-                out.append(b"".join(map(get, pieces)))
-        for x in odd:  # so that they are found new, and odd, again
-            del self.cache[x]
+                for i in unknown:
+                    found[i] = got[pieces[i]]
+                out.append(b"".join(found))
         return out
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+_HELD: dict[str, dict] = {}
+
+
+def held(kind: str) -> dict:
+    """What this worker process keeps between tasks for one kind of operator; workers are reused, so other kinds' caches go."""
+    for other in [k for k in _HELD if k != kind]:
+        del _HELD[other]
+    return _HELD.setdefault(kind, {})
 
 
 def encoder(path: str, dtype: str = "<u4") -> Encoder:
     """One encoder per worker process, vocabulary and width."""
-    key = (path, dtype)
-    if key not in _ENCODERS:
+    kept, key = held("encoder"), (path, dtype)
+    if key not in kept:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[key] = Encoder(*key)
-    return _ENCODERS[key]
+        kept.clear()
+        kept[key] = Encoder(*key)
+    return kept[key]
 
 
-def chunks(batch, size: int = 4 << 20):
+def chunks(batch, size: int = 2 << 20):
     """Slices of an Arrow batch whose text column (the last) has about so many bytes: bounded working memory."""
     if not batch.num_rows:
         return
@@ -100,3 +134,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values()) + 1
