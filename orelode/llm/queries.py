@@ -49,7 +49,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokenfile.checksums(tokenfile.read_tokens(spark, tokenfile.write_tokens(docs, vocabulary())))
+    return tokenfile.read_tokens(spark, tokenfile.write_tokens(docs, vocabulary()), digest=True)
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,26 @@ m AS (SELECT k.*, s.key IS NOT NULL AS gone FROM k LEFT JOIN s USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op4_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[ \\x09-\\x0D]+'), lambda x: length(x) > 0) AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)), l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m.least, doc_id)) AS component_id FROM s LEFT JOIN m USING (doc_id)""",
+    "op5_decontamination": f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS t FROM benchmark),
+v AS (SELECT item, t, least(13, len(t)) AS n, unnest(range(1, len(t) - least(13, len(t)) + 2)) AS k FROM i WHERE len(t) > 0),
+o AS (SELECT DISTINCT item, n, array_to_string(t[k:k + n - 1], ' ') AS run FROM v),
+d AS (SELECT doc_id, n, k, array_to_string(t[k:k + n - 1], ' ') AS run FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS k FROM w, (SELECT DISTINCT n FROM o) WHERE len(t) >= n)),
+h AS (SELECT doc_id, item, d.n, k FROM d JOIN o ON d.n = o.n AND d.run = o.run),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM h) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated FROM w LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)""",
     "op6_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS x FROM embeddings),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND array_cosine_similarity(a.x, b.x) >= 0.95),

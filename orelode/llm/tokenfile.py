@@ -23,34 +23,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, workers
-from orelode.llm.tokens import chunks, encoder
+from orelode.llm.tokens import chunks, encoder, vocabulary_size
 
 #: Lengths of the four codes that each control byte stands for, and their sum.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def encode_codes(codes: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit codes."""
-    codes = codes.astype("<u4")
-    size = 1 + (codes > 0xFF).astype(np.uint8) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
+    width = 2 if not len(codes) or codes.max() <= 0xFFFF else 4  # bytes of the longest codes: fewer to look at
+    codes = codes.astype(f"<u{width}")
+    keep = np.ones((len(codes), width), bool)
+    for k in range(1, width):
+        keep[:, k] = codes >> np.uint8(8 * k) > 0
+        keep[:, 1:k] |= keep[:, k : k + 1]
     padded = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
-    padded[: len(codes)] = size - 1
-    control = padded.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    quads = codes.view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), quads[np.arange(4) < size[:, None]].tobytes()
+    padded[: len(codes)] = keep[:, 1:].sum(1, dtype=np.uint8) if width > 2 else keep[:, 1]
+    a, b, c, d = padded.reshape(-1, 4).T
+    return (a | b << 2 | c << 4 | d << 6).tobytes(), codes.view(np.uint8).reshape(-1, width)[keep].tobytes()
 
 
 def decode_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n codes again."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    start = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    out = raw[start]
+    start = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[start].astype(np.uint32)
     for k in (1, 2, 3):
         longer = np.flatnonzero(size > k)
         if not len(longer):
             break
-        out[longer] |= raw[start[longer] + k] << np.uint32(8 * k)
+        out[longer] |= raw[start[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -66,11 +69,13 @@ def write_tokens(docs: DataFrame, vocab: str, path: str | None = None, id_col: s
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     id_type = pa.from_numpy_dtype(np.int64) if kind == "bigint" else None
-    end = np.array([end_id], "<u4").tobytes()
+    wide = vocabulary_size(vocab) > 1 << 16
+    raw_type = np.dtype("<u4" if wide else "<u2")  # of ids between the passes
+    end = np.array([end_id], raw_type).tobytes()
 
     def cut(batches):
         """Blocks of raw ids with their place in the partition; docs that end a block, and counts of ids in the last row."""
-        tool, part_no, start, block = encoder(vocab), TaskContext.get().partitionId(), 0, 0
+        tool, part_no, start, block = encoder(vocab, raw_type.str), TaskContext.get().partitionId(), 0, 0
         counts = np.zeros(1, np.int64)
         held_ids, held_docs, held_n, size = [], [], [], 0
 
@@ -85,16 +90,16 @@ def write_tokens(docs: DataFrame, vocab: str, path: str | None = None, id_col: s
             return out
 
         for batch in batches:
-            for piece in chunks(batch):
+            for piece in chunks(batch, 8 << 20):
                 got = tool.encode(piece.column(1).to_pylist())
-                seen = np.bincount(np.frombuffer(b"".join([*got, end * len(got)]), "<u4"))
+                seen = np.bincount(np.frombuffer(b"".join([*got, end * len(got)]), raw_type))
                 if len(seen) > len(counts):
                     counts = np.pad(counts, (0, len(seen) - len(counts)))
                 counts[: len(seen)] += seen
                 for doc, ids in zip(piece.column(0).to_pylist(), got, strict=True):
                     held_ids += [ids, end]
                     held_docs.append(doc)
-                    held_n.append(len(ids) // 4 + 1)
+                    held_n.append(len(ids) // raw_type.itemsize + 1)
                     size += held_n[-1]
                     if size >= block_ids:
                         yield row()
@@ -103,7 +108,7 @@ def write_tokens(docs: DataFrame, vocab: str, path: str | None = None, id_col: s
 
     shape = f"part int, block int, start long, docs array<{kind}>, n_tokens array<bigint>, ids binary, tally binary"
     ordered = source.repartitionByRange(workers(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    raw = scratch.keep(ordered.mapInArrow(cut, shape), "raw")
+    raw = scratch.keep(ordered.mapInArrow(cut, shape), "raw", codec="lz4", dictionary=False)
 
     def tallies(batches):
         total = np.zeros(1, np.int64)
@@ -130,18 +135,18 @@ def write_tokens(docs: DataFrame, vocab: str, path: str | None = None, id_col: s
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                control, data = encode_codes(rank[np.frombuffer(one.column("ids")[0].as_py(), "<u4")])
+                control, data = encode_codes(rank[np.frombuffer(one.column("ids")[0].as_py(), raw_type)])
                 start = first[one.column("part")[0].as_py()] + one.column("start")[0].as_py()
                 yield pa.RecordBatch.from_arrays([one.column("part"), one.column("block"), pa.array([start], pa.int64()), one.column("docs"), one.column("n_tokens"), pa.array([control], pa.binary()), pa.array([data], pa.binary())], names=["part", "block", "start", "docs", "n_tokens", "control", "data"])
 
     coded = raw.drop("tally").mapInArrow(code, f"part int, block int, start long, docs array<{kind}>, n_tokens array<bigint>, control binary, data binary")
-    coded.write.option("compression", "zstd").parquet(f"{path}/blocks")
+    coded.write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(f"{path}/blocks")
     scratch.drop("raw")
     return path
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of each document of a file set."""
+def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of each document of a file set; with digest, ids_crc32 instead of ids."""
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["docs"].dataType.elementType.simpleString()
     table = {r["rank"]: r["id"] for r in spark.read.parquet(f"{path}/ranks").collect()}  # as many as the vocabulary has ids
@@ -154,15 +159,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 docs, sizes = one.column("docs").flatten(), one.column("n_tokens").flatten().to_numpy()
-                total = int(sizes.sum())
-                ids = by_rank[decode_codes(one.column("control")[0].as_py(), one.column("data")[0].as_py(), total)].tobytes()
+                ids = memoryview(by_rank[decode_codes(one.column("control")[0].as_py(), one.column("data")[0].as_py(), int(sizes.sum()))].tobytes())
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
-                yield pa.RecordBatch.from_arrays([docs, pa.array(starts + one.column("start")[0].as_py()), pa.array(sizes), pa.array([ids[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                each = [ids[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+                last = pa.array([zlib.crc32(x) for x in each], pa.int64()) if digest else pa.array([bytes(x) for x in each], pa.binary())
+                yield pa.RecordBatch.from_arrays([docs, pa.array(starts + one.column("start")[0].as_py()), pa.array(sizes), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return blocks.select("start", "docs", "n_tokens", "control", "data").mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids binary")
-
-
-def checksums(tokens: DataFrame) -> DataFrame:
-    """ids replaced by their unsigned crc32, in the JVM."""
-    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return blocks.select("start", "docs", "n_tokens", "control", "data").mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
