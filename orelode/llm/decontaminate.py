@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch
-from orelode.llm.tokens import chunks
+from orelode.llm.tokens import chunks, held
 
 #: A-Z lower-cased; every byte outside words [0-9a-z\x80-\xff] a space. Code points over 127 are bytes over 127.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -76,9 +76,6 @@ class Windows:
         return mark, items
 
 
-_BUILT: dict[str, Windows] = {}
-
-
 def spans(text: str, mark: np.ndarray) -> list[dict[str, int]]:
     """Code-point ranges of runs of hit words, from the first character of the run's first word to the last of its last."""
     data = text.encode()
@@ -99,8 +96,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_slices = max(1, -(-size // slice_bytes))
-    names = docs.columns
-    state = docs.withColumns({"_dc_bits": F.lit(None).cast("binary"), "_dc_items": F.array().cast("array<string>"), "_dc_text": F.col(text_col).cast("string")})
+    names = [c for c in docs.columns if c != text_col]  # the text goes through the workers once
+    state = docs.select(*names, F.lit(None).cast("binary").alias("_dc_bits"), F.array().cast("array<string>").alias("_dc_items"), F.col(text_col).cast("string").alias("_dc_text"))
     scratch = Scratch(spark, "decontaminate")
     for k in range(n_slices):
         picked = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_slices)) == k) if n_slices > 1 else items
@@ -110,17 +107,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             state = scratch.keep(state, f"slice{k}")
     out = state.withColumn("hit_items", F.array_sort(F.array_distinct("_dc_items")))
     hit = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
-    return out.select(*names, "n_words", "n_hit", "hit_items", "hit_spans", hit.alias("contaminated"))
+    return out.withColumnRenamed("_dc_text", text_col).select(*docs.columns, "n_words", "n_hit", "hit_items", "hit_spans", hit.alias("contaminated"))
 
 
 def _scan(state: DataFrame, names: list[str], shared, window: int, last: bool) -> DataFrame:
     n, name = len(names), uuid.uuid4().hex
 
     def run(batches):
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = Windows(shared.value, window)
-        tool = _BUILT[name]
+        kept = held("windows")
+        if name not in kept:
+            kept.clear()
+            kept[name] = Windows(shared.value, window)
+        tool = kept[name]
         for batch in batches:
             for part in chunks(batch):
                 bits, items, n_words, n_hit, places = [], [], [], [], []
@@ -135,14 +133,12 @@ def _scan(state: DataFrame, names: list[str], shared, window: int, last: bool) -
                     items.append([*old, *(tool.names[i] for i in at)])
                     bits.append(None if mark is None or last else np.packbits(mark).tobytes())
                     places.append(spans(text, mark) if last and mark is not None else [])
-                columns = [*part.columns[:n], pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+                columns = [*part.columns[:n], pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string())), part.column("_dc_text")]
                 if last:
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                     columns += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(places, kind)]
-                else:
-                    columns.append(part.column("_dc_text"))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "_dc_bits", "_dc_items", *(["n_words", "n_hit", "hit_spans"] if last else ["_dc_text"])])
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "_dc_bits", "_dc_items", "_dc_text", *(["n_words", "n_hit", "hit_spans"] if last else [])])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields[:n])
-    tail = "n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>" if last else "_dc_text string"
-    return state.mapInArrow(run, f"{kinds}, _dc_bits binary, _dc_items array<string>, {tail}")
+    tail = ", n_words long, n_hit long, hit_spans array<struct<start: long, end: long>>" if last else ""
+    return state.mapInArrow(run, f"{kinds}, _dc_bits binary, _dc_items array<string>, _dc_text string{tail}")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.tokens import chunks
+from orelode.llm.tokens import chunks, held
 
 BUCKETS = 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
@@ -118,6 +118,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = labelled.select(F.col(id_col).cast("string").alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")).filter("_lang is not null and _text is not null")
 
     def df_pass(batches):
+        held("sets")
         seen, n, columns = np.zeros(BUCKETS, np.int64), 0, ["_text"]
         for batch in batches:
             for part in chunks(batch.select(columns)):
@@ -137,6 +138,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     idf = np.log((1 + total) / (1 + seen)) + 1
 
     def sample_pass(batches):
+        held("sets")
         for batch in batches:
             for part in chunks(batch):
                 got = list(features(part.column("_text").to_pylist()))
@@ -166,9 +168,11 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """id, the columns of keep, lang_pred and score of every whole text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    cols = list(dict.fromkeys([id_col, *keep]))
+    cols = [c for c in dict.fromkeys([id_col, *keep]) if c != text_col]
+    kept = text_col in keep  # the text goes through the workers once
 
     def run(batches):
+        held("sets")
         model = shared.value
         for batch in batches:
             for part in chunks(batch):
@@ -180,10 +184,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         p = model.probabilities(at, counts)
                         best = int(p.argmax())
                         lang[i], score[i] = model.languages[best], min(1.0, float(p[best]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*cols, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.columns if kept else part.columns[:-1]), pa.array(lang, pa.string()), pa.array(score)], names=[*cols, *([text_col] if kept else []), "lang_pred", "score"])
 
     source = docs.select(*cols, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *([f"`{text_col}` string"] if kept else [])])
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
