@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.common import ascii_lower
+from orelode.llm.common import Scratch, ascii_lower
 
 #: Stripped at both ends of a line: space, tab, line feed, vertical tab, form feed, carriage return.
 _STRIP = " \t\n\x0b\x0c\r"
@@ -41,6 +41,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # a line's documents: distinct (hash, id) first, then counts, both combined before they are dealt
     shared = lines.select("a", "b", F.coalesce("_ld_id", F.lit("")).alias("id"), F.col("_ld_id").isNull().alias("none")).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
+    # written, so that the join below deals both sides itself and can split a hot line
+    shared = Scratch(docs.sparkSession, "lines").keep(shared, "shared")
     gone = lines.select("_ld_row", "pos", "a", "b").join(shared, ["a", "b"], "left_semi").groupBy("_ld_row").agg(F.collect_set("pos").alias("_ld_gone"))
     whole = docs.withColumn("_ld_row", key).join(gone, "_ld_row", "left").drop("_ld_row")
     cut = whole.withColumn("_ld_lines", F.split(text, "\n", -1)).withColumn("n_lines", F.size("_ld_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long"))
