@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,23 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def block_components(linked: np.ndarray, ka: np.ndarray, kb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, labels) of the linked keys of two blocks: the least key that each reaches within them. Equal keys on both sides are one node."""
+    some_a, some_b = linked.any(1), linked.any(0)
+    sub, na, nb = linked[some_a][:, some_b], ka[some_a], kb[some_b]
+    if not sub.size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    row, col = np.nonzero(sub)
+    by_col = np.argsort(col, kind="stable")
+    row_starts, col_starts = np.flatnonzero(np.diff(row, prepend=-1)), np.flatnonzero(np.diff(col[by_col], prepend=-1))
+    la, lb = na.copy(), nb.copy()
+    _, ia, ib = np.intersect1d(na, nb, return_indices=True)
+    while True:
+        ma = np.minimum(la, np.minimum.reduceat(lb[col], row_starts))
+        mb = np.minimum(lb, np.minimum.reduceat(ma[row[by_col]], col_starts))
+        ma[ia] = mb[ib] = np.minimum(ma[ia], mb[ib])
+        if (ma == la).all() and (mb == lb).all():
+            return np.concatenate([na, nb]), np.concatenate([la, lb])
+        la, lb = ma, mb

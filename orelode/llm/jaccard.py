@@ -8,11 +8,12 @@ cells of one of the enumerated subsets are equal there: the pair shares that sub
 Spare groups are added, so that a signature of nothing (subsets that are empty in a set) is needed only
 by sets with more empty subsets than spare groups; so no link is lost, and empty cells make no hot keys.
 
-Sets that share a signature aren't paired with each other. In each round every signature group
-compares its members with a few pivots; members that are linked already (in one component) need no
-comparison, and pivots have met all others. The number of pivots quadruples by round, until every
-group is one component or all its members have been pivots. Comparisons are exact, on whole texts,
-spread over tasks by pair; exact copies of a set are compared once.
+Sets that share a signature aren't paired with each other. First every signature group compares its
+members with one pivot. Groups that then still hold several components go on: of up to `LARGE`
+members, more pivots (four times as many each round) meet the members that aren't linked with them
+yet; larger groups are cut into blocks, and pairs of blocks are compared by matrix products within a
+task, which returns one edge per linked set. Comparisons are exact, on whole texts; exact copies of a
+set are compared once. Texts of a group never meet in one task beyond two blocks.
 
 Defined results: null and empty texts, and texts without words, have size 0 and link with nothing; they are their own
 component. Repeated rows and ids are sets of their own and get the component of their set. The
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orelode.llm.common import Scratch
-from orelode.llm.components import components
+from orelode.llm.common import Scratch, workers
+from orelode.llm.components import block_components, components
 from orelode.llm.shingles import _PLACE, fingerprint, mix, shingle_sets
-from orelode.llm.tokens import chunks
+from orelode.llm.tokens import chunks, held
 
 _U = np.uint64
+#: Members from which a group is compared by blocks, and sets of a block.
+LARGE, BLOCK = 40, 1200
 
 
 def _times(place: int, n: int) -> np.uint64:
@@ -62,7 +65,8 @@ def plan(band: int, num: int, den: int) -> tuple[int, int, int, int]:
     """
     top = int(bands(num, den)[band])
     differing = 2 * top * (den - num) // (den + num)
-    cells, chosen = (1, 1) if differing < 12 else (3, 2)
+    # three cells where a differing shingle leaves enough equal ones beside it to make selective pairs of cells
+    cells, chosen = (3, 2) if differing >= 12 and den + num >= 16 * (den - num) else (1, 1)
     if differing == 0:
         return 0, 0, cells, chosen
     need, size = -(-(differing + 1) // (cells - chosen + 1)), max(2, top * num // den * num // den)
@@ -124,6 +128,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
     def run(batches):
+        held("sets")
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(part.column("text").to_pylist(), k)
@@ -134,12 +139,16 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
 
 def _signature_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches):
+        held("sets")
+        seen: set[int] = set()
         for batch in batches:
             for part in chunks(batch):
-                fps, sigs, seen = [], [], set()
+                fps, sigs = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                if len(seen) > 500_000:
+                    seen.clear()
                 for found in shingle_sets(part.column(0).to_pylist(), k):
                     fp = fingerprint(found)
-                    if fp not in seen:
+                    if fp not in seen:  # copies of a set within a task: once
                         seen.add(fp)
                         sigs.append(signatures(found, num, den))
                         fps.append(np.full(len(sigs[-1]), fp, np.int64))
@@ -154,6 +163,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     full = left.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").sortWithinPartitions("a")
 
     def run(batches):
+        held("sets")
         last, pivot = None, None
         for batch in batches:
             for part in chunks(batch.select(["a", "b", "ta", "tb"])):
@@ -168,11 +178,78 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every a with every b: products of 0/1 matrices, some thousand elements at a time."""
+    ea, eb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(ea, eb)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    pa_, pb = np.searchsorted(both, ea), np.searchsorted(both, eb)
+    ia, ib = (pa_ < len(both)) & (both[np.minimum(pa_, len(both) - 1)] == ea) if len(both) else np.zeros(len(ea), bool), (pb < len(both)) & (both[np.minimum(pb, len(both) - 1)] == eb) if len(both) else np.zeros(len(eb), bool)
+    ra, rb, pa_, pb = ra[ia], rb[ib], pa_[ia], pb[ib]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(both), 4096):
+        ka, kb = (pa_ >= lo) & (pa_ < lo + 4096), (pb >= lo) & (pb < lo + 4096)
+        width = min(4096, len(both) - lo)
+        ma, mb = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        ma[ra[ka], pa_[ka] - lo], mb[rb[kb], pb[kb] - lo] = 1, 1
+        out += ma @ mb.T
+    return out.astype(np.int64)
+
+
+def _block_links(groups: DataFrame, texts: DataFrame, partitions: int, k: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that connect all linked sets of each large group; groups: sig, fp, label, nb (blocks of the group)."""
+    mine = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
+    items = groups.select("sig", "fp", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    items = items.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), "fp", "label")
+    dealt = items.join(texts, "fp").repartition(partitions, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side", "fp")
+
+    def solve(held, one_block):
+        (ka, la, sa), (kb, lb, sb) = held[0], held[0] if one_block else held[1]
+        ka, kb, la, lb = (np.array(x, np.int64) for x in (ka, kb, la, lb))
+        if not len(ka) or not len(kb) or (la[0] == la).all() and (la[0] == lb).all():
+            return None
+        na, nb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
+        met = common(sa, sb)
+        linked = (den * met >= num * (na[:, None] + nb[None, :] - met)) & (ka[:, None] != kb[None, :])
+        nodes, labels = block_components(linked, ka, kb)
+        # an edge for each two components that meet here, not for each set
+        keys, before = np.concatenate([ka, kb]), np.concatenate([la, lb])
+        order = np.argsort(keys, kind="stable")
+        of = lambda x: before[order[np.searchsorted(keys, x, sorter=order)]]
+        ends = np.stack([of(nodes), of(labels)], 1)
+        _, first = np.unique(ends, axis=0, return_index=True)
+        first = first[ends[first, 0] != ends[first, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(nodes[first]), pa.array(labels[first])], names=["a", "b"])
+
+    def run(batches):
+        item, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for part in chunks(batch):
+                sig, i, j, side = (part.column(c).to_pylist() for c in ("sig", "i", "j", "side"))
+                sets = shingle_sets(part.column("text").to_pylist(), k)
+                for n, (fp, label) in enumerate(zip(part.column("fp").to_pylist(), part.column("label").to_pylist(), strict=True)):
+                    here = (sig[n], i[n], j[n])
+                    if here != item:
+                        if item is not None and (got := solve(held, item[1] == item[2])) is not None:
+                            yield got
+                        item, held = here, (([], [], []), ([], [], []))
+                    for to, what in zip(held[side[n]], (fp, label, sets[n]), strict=True):
+                        to.append(what)
+        if item is not None and (got := solve(held, item[1] == item[2])) is not None:
+            yield got
+
+    return dealt.select("sig", "i", "j", "side", "fp", "label", "text").mapInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row, for links of den * |A & B| >= num * |A | B|; and _row, for joining back."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = _texts(docs, id_col, text_col)
     sets = scratch.keep(_sets(texts, k), "sets")
+    # a set has each of its signatures once, so one signature has less than a hundredth of the rows even if all sets
+    # share it; the window reads 16 bytes a row, spills, and holds no texts
     group = Window.partitionBy("sig")
     met = _signature_rows(texts, k, num, den).withColumns({"lo": F.min("fp").over(group), "hi": F.max("fp").over(group)})
     rows = scratch.keep(met.filter("lo < hi").select("sig", "fp").distinct(), "met")
@@ -184,21 +261,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     todo = rows.withColumn("pivoted", F.lit(False))
     for n in range(1, 200):
         here = todo.filter("not pivoted").join(labels.select(F.col("node").alias("fp"), "label"), "fp")
-        open_ = here.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
+        # groups of several components; of groups with the same members, one
+        tag = lambda seed: F.bit_xor(F.xxhash64("fp", F.lit(seed))).alias(f"x{seed}")
+        groups = here.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), tag(1), tag(2), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+        open_ = groups.groupBy("x1", "x2", "n").agg(F.min("sig").alias("sig")).select("sig")
         state = scratch.keep(here.join(open_, "sig").select("sig", "fp", "label"), f"state{n}")
         if not state.limit(1).count():
-            break
+            break  # every group is one component, or all its members have met
+        links = None
         if n == 1:  # one pivot a group: partial minima, no ranking
             pivots = state.groupBy("sig").agg(F.min(F.struct("fp", "label")).alias("p")).select("sig", F.col("p.fp").alias("pivot"), F.col("p.label").alias("pivot_label"))
         else:
-            rank = F.row_number().over(group.orderBy("fp"))
+            sizes = state.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+            if n == 2:  # large groups are settled here, once and for all
+                large = scratch.keep(state.join(sizes, "sig"), "large")
+                if large.limit(1).count():
+                    links = _block_links(large, sources, workers(docs.sparkSession), k, num, den)
+                    state = scratch.keep(state.join(sizes, "sig", "left_anti"), "small")
+            rank = F.row_number().over(Window.partitionBy("sig").orderBy("fp"))  # of at most LARGE members
             pivots = state.withColumn("rank", rank).filter(F.col("rank") <= 4 ** (n - 1)).select("sig", F.col("fp").alias("pivot"), F.col("label").alias("pivot_label"))
         pairs = state.join(pivots, "sig").filter("label <> pivot_label").select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs{n}")
         tested = pairs if tested is None else tested.union(pairs)
-        links = scratch.keep(_verified(pairs, sources, k, num, den), f"links{n}")
+        found = _verified(pairs, sources, k, num, den)
+        links = scratch.keep(found if links is None else found.union(links), f"links{n}")
         named = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         merged = components(named, scratch, f"merge{n}").select(F.col("node").alias("label"), F.col("label").alias("new"))
         labels = scratch.keep(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), f"labels{n}")

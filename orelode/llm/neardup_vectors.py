@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, workers
-from orelode.llm.components import components
+from orelode.llm.components import block_components, components
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -81,27 +81,7 @@ def block_links(a: np.ndarray, b: np.ndarray, ka: np.ndarray, kb: np.ndarray, wb
         linked[i : i + 512] = a[i : i + 512] @ b.T >= threshold
     linked &= ka[:, None] != kb[None, :]
     counts = linked @ wb
-    some_a, some_b = linked.any(1), linked.any(0)
-    sub, na, nb = linked[some_a][:, some_b], ka[some_a], kb[some_b]
-    if not sub.size:
-        return counts, np.empty(0, np.int64), np.empty(0, np.int64)
-    row, col = np.nonzero(sub)
-    ends = np.flatnonzero(np.diff(row, append=len(na)))
-    by_col = np.argsort(col, kind="stable")
-    col_starts = np.flatnonzero(np.diff(col[by_col], prepend=-1))
-    row_starts = np.concatenate([[0], ends[:-1] + 1])
-    la, lb = na.copy(), nb.copy()
-    # equal keys on both sides are one node
-    both, ia, ib = np.intersect1d(na, nb, return_indices=True)
-    while True:
-        ma = np.minimum(la, np.minimum.reduceat(lb[col], row_starts))
-        mb = np.minimum(lb, np.minimum.reduceat(ma[row[by_col]], col_starts))
-        if len(both):
-            ma[ia] = mb[ib] = np.minimum(ma[ia], mb[ib])
-        if (ma == la).all() and (mb == lb).all():
-            break
-        la, lb = ma, mb
-    return counts, np.concatenate([na, nb]), np.concatenate([la, lb])
+    return counts, *block_components(linked, ka, kb)
 
 
 def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, block: int = 4096) -> DataFrame:
