@@ -253,9 +253,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     group = Window.partitionBy("sig")
     met = _signature_rows(texts, k, num, den).withColumns({"lo": F.min("fp").over(group), "hi": F.max("fp").over(group)})
     rows = scratch.keep(met.filter("lo < hi").select("sig", "fp").distinct(), "met")
+    del met
+    scratch.release()
     members = rows.select("fp").distinct()
     one = sets.filter("n > 0").join(members, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row"))
     sources = scratch.keep(texts.select("_row", "text").join(one, "_row").select("fp", "text"), "texts")
+    del one
+    scratch.release()
     labels = scratch.keep(members.select(F.col("fp").alias("node"), F.col("fp").alias("label")), "labels0")
     tested = None
     todo = rows.withColumn("pivoted", F.lit(False))
@@ -287,6 +291,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         tested = pairs if tested is None else tested.union(pairs)
         found = _verified(pairs, sources, k, num, den)
         links = scratch.keep(found if links is None else found.union(links), f"links{n}")
+        del found
+        scratch.release()
         named = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         merged = components(named, scratch, f"merge{n}").select(F.col("node").alias("label"), F.col("label").alias("new"))
         labels = scratch.keep(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), f"labels{n}")
