@@ -382,6 +382,25 @@ def test_repeated_passages(spark, awkward):
     assert substrings.repeated_passages(docs.limit(0)).collect() == []
 
 
+def test_two_exact_passages_of_one_pair(spark):
+    rng = random.Random(31)
+    head, foot = prose(rng, 60, 5000), prose(rng, 60, 5000)
+    texts = [(i, f"{head} {prose(rng, 100, 5000)} {foot}") for i in range(2)]
+    found = substrings.repeated_passages(corpus(spark, texts)).collect()
+    assert len(found) == 2 and sorted((r["start_word"] // 100, r["similarity"] > 0.95) for r in found) == [(0, True), (1, True)]
+    assert all(any(r["start_word"] <= a and b <= r["end_word"] for r in found) for a, b in ((0, 60), (160, 220)))
+
+
+def test_longest_stretch_is_brute_forces():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        gains, losses = rng.random(n), -rng.random(n - 1) * 2
+        sums = {(i, j): gains[i : j + 1].sum() + losses[i:j].sum() for i in range(n) for j in range(i, n)}
+        i, j = substrings._longest(gains, losses)
+        assert sums[i, j] >= 0 and j - i == max(j - i for (i, j), x in sums.items() if x >= 0)
+
+
 def test_chain_takes_collinear_matches():
     a, b = np.array([0, 10, 20, 30, 15, 5]), np.array([100, 110, 120, 130, 7, 300])
     best = substrings.chain(a, b, 8, 0.05)[0]
