@@ -391,6 +391,21 @@ def test_two_exact_passages_of_one_pair(spark):
     assert all(any(r["start_word"] <= a and b <= r["end_word"] for r in found) for a, b in ((0, 60), (160, 220)))
 
 
+def test_passages_edited_up_to_the_similarity(spark):
+    rng = random.Random(37)
+    bodies, texts, close = [], [], []
+    for i in range(120):
+        body = prose(rng, 60, 5000).split()
+        edited, step = list(body), (5, 6, 8, 10)[i % 4]  # 0.8, 0.83, 0.88 and 0.9 alike
+        for at in range(step - 1, 60, step):
+            edited[at] = f"edited{i}x{at}"
+        bodies += [body, edited]
+    texts = [(i, f"{prose(rng, 30, 5000)} {' '.join(x)} {prose(rng, 30, 5000)}") for i, x in enumerate(bodies)]
+    for r in substrings.repeated_passages(corpus(spark, texts)).collect():
+        close.append((min(r["doc_id"], r["other_id"]), max(r["doc_id"], r["other_id"])))
+    assert set(close) == {(i, i + 1) for i in range(0, 240, 2)}
+
+
 def test_longest_stretch_is_brute_forces():
     rng = np.random.default_rng(3)
     for _ in range(200):
