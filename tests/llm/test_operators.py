@@ -406,6 +406,16 @@ def test_passages_edited_up_to_the_similarity(spark):
     assert set(close) == {(i, i + 1) for i in range(0, 240, 2)}
 
 
+def test_passage_whose_parts_stand_in_other_documents(spark):
+    rng = random.Random(41)
+    passage = prose(rng, 90, 5000).split()
+    texts = [(i, f"{prose(rng, 40, 5000)} {' '.join(passage)} {prose(rng, 40, 5000)}") for i in range(2)]
+    parts = [passage[at : at + 40] for at in (0, 10, 20, 30, 40, 50)]
+    texts += [(100 + i, f"{prose(rng, 40, 5000)} {' '.join(parts[i % 6])} {prose(rng, 40, 5000)}") for i in range(180)]
+    found = [r for r in substrings.repeated_passages(corpus(spark, texts)).collect() if {r["doc_id"], r["other_id"]} == {0, 1}]
+    assert any(r["start_word"] <= 40 and r["end_word"] >= 130 and r["similarity"] > 0.95 for r in found)
+
+
 def test_longest_stretch_is_brute_forces():
     rng = np.random.default_rng(3)
     for _ in range(200):
