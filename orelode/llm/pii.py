@@ -8,7 +8,8 @@ ssn, local_phone) need a valid form and a score of at least `min_score`.
 A match's place comes from splitting the text by the same pattern: the gaps and the matches alternate,
 and their lengths add up to code-point offsets. The patterns are possessive and start only at a run's
 start or where the last match ended (\\G), which finds what the plain leftmost patterns find and keeps
-the work linear in runs of any length.
+the work linear in runs of any length. An IBAN's pattern proposes only where it starts; what follows may be
+capitals and digits that don't belong to it, so its end is looked for among the ends of words.
 
 Defined results: null and empty texts have no spans. Spans of different kinds may overlap; those of a
 kind don't. Rows and extra columns stay as they are.
@@ -25,7 +26,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9.+-])\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9.-])",
 }
@@ -41,6 +42,15 @@ CONTEXT = {
     "local_phone": "phone|call|tel|mobile|fax",
 }
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.8, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3}
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 "
+        "GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 "
+        "MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _AGAINST = "version|invoice|order no|isbn|serial"
 
 
@@ -80,8 +90,6 @@ def valid(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
-    if kind == "iban":
-        return mod97(match)
     return F.lit(True)
 
 
@@ -101,10 +109,42 @@ def candidates(kind: str, text: Column) -> Column:
     return F.aggregate(pairs, start, step)["found"]
 
 
+def ibans(text: Column) -> Column:
+    """Array of (start, match) of valid IBANs, those that start inside the one before left out.
+
+    Of a country's IBANs the end is at its length, or where the whole run ends; of unknown countries at the last end that is valid.
+    """
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+
+    def ended(x):
+        around = F.substr(text, x["start"] + 1, F.lit(65))
+        run = F.regexp_extract(around, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0)
+
+        def ends(n):
+            match = F.substr(run, F.lit(1), n)
+            size, usual = F.length(F.replace(match, F.lit(" "), F.lit(""))), F.element_at(lengths, F.substring(run, 1, 2))
+            fits = (size >= 15) & (usual.isNull() | (size == usual) | (n == F.length(run)))
+            # nested, so that only few ends are summed
+            return F.when(~F.endswith(match, F.lit(" ")) & ~F.substr(around, n + 1, F.lit(1)).rlike("[A-Za-z0-9]") & fits, mod97(match)).otherwise(F.lit(False))
+
+        found = F.filter(F.sequence(F.length(run), F.lit(15), F.lit(-1)), ends)
+        usual = F.filter(found, lambda n: F.length(F.replace(F.substr(run, F.lit(1), n), F.lit(" "), F.lit(""))) == F.element_at(lengths, F.substring(run, 1, 2)))
+        return F.struct(x["start"].alias("start"), F.substr(run, F.lit(1), F.coalesce(F.get(usual, F.lit(0)), F.get(found, F.lit(0)))).alias("match"))
+
+    valid_ones = F.filter(F.transform(candidates("iban", text), ended), lambda x: x["match"].isNotNull())
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, match: string>>)").alias("found"))
+
+    def step(state, x):
+        after = F.struct((x["start"] + F.length(x["match"])).alias("at"), F.concat(state["found"], F.array(F.struct(x["start"].alias("start"), x["match"].alias("match")))).alias("found"))
+        return F.when(x["start"] >= state["at"], after).otherwise(state)
+
+    return F.aggregate(valid_ones, start, step)["found"]
+
+
 def spans_of(kind: str, text: Column, min_score: float, reach: int) -> Column:
     """Array of (start, place of the kind, kind, end, score)."""
     order = list(PATTERNS).index(kind)
-    found = F.filter(candidates(kind, text), lambda x: valid(kind, x["match"]))
+    found = ibans(text) if kind == "iban" else F.filter(candidates(kind, text), lambda x: valid(kind, x["match"]))
 
     def scored(x):
         around = F.lower(F.concat_ws("\n", F.substr(text, F.greatest(x["start"] - reach + 1, F.lit(1)), F.least(x["start"], F.lit(reach))), F.substr(text, x["start"] + F.length(x["match"]) + 1, F.lit(reach))))

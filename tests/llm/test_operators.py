@@ -298,6 +298,15 @@ def test_cells_cover_all_links():
 # -- 7 ---------------------------------------------------------------------------------
 
 
+def test_iban_before_capitals_and_digits(spark):
+    de, gb, spaced = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    texts = [(0, f"{de} Please pay"), (1, f"{spaced} BIC COBADEFFXXX"), (2, f"{gb} 2024"), (3, f"IBAN {de} {gb} A"), (4, f"{de[:-1]}1 Please"), (5, f"x{de} Please"), (6, f"{de}A Please"), (7, f"AB12 {de} UND")]
+    texts += [(8, f"é {de} ÄRGER {spaced} OK"), (9, f"AB12 CD34 {spaced} BIC"), (10, f"{de} {de}"), (11, f"{spaced}\n{gb}")]
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("iban")] for r in pii.pii_digest(corpus(spark, texts)).collect()}
+    want = {0: [(0, de)], 1: [(0, spaced)], 2: [(0, gb)], 3: [(5, de), (28, gb)], 4: [], 5: [], 6: [], 7: [(5, de)], 8: [(2, de), (31, spaced)], 9: [(10, spaced)], 10: [(0, de), (23, de)], 11: [(0, spaced), (28, gb)]}
+    assert got == {i: [f"iban:{at}:{at + len(x)}" for at, x in xs] for i, xs in want.items()}
+
+
 def test_pii(spark, awkward):
     texts = [
         *awkward, (20, "a@b.c_d@e.f x@y a@b@c.d é@x.y.z.."), (21, "1.2.3.4.5.6.7.8 300.1.1.1 0255.1.1.1"), (22, "☃ +1 (487) 555-7209 and +49 301234567."), (23, "4736962573099581 4111 1111 1111 1111 4736962573099582"),
