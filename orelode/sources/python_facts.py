@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ast
 import builtins
+import hashlib
 import io
 import re
 import tokenize
@@ -92,6 +93,13 @@ def expression_key(x: ast.AST) -> str:
     return part(x)
 
 
+def bounded(key: str, most: int) -> str:
+    """The key, or for a longer one its start with the length and a digest of the whole: keys are equal only where the structures are."""
+    if len(key) <= most:
+        return key
+    return f"{key[:most]}#{len(key)}:{hashlib.blake2b(key.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
 class Facts:
     def __init__(self, rel: str, source: str):
         self.rel, self.source, self.rows = rel, source, []
@@ -268,7 +276,7 @@ class Facts:
             leaves = isinstance(s, (ast.Return, ast.Raise, ast.Break, ast.Continue)) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Call) and dotted(s.value.func) in ("sys.exit", "exit", "quit")
             noop = isinstance(s, ast.Expr) and not isinstance(s.value, (ast.Call, ast.Await, ast.Yield, ast.YieldFrom, ast.Constant, ast.Lambda, ast.NamedExpr))
             plain = not isinstance(s, (*_FUNCTION, ast.ClassDef, ast.Import, ast.ImportFrom)) and not (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant))
-            self.add("stmt", place, owner, s.lineno, s.end_lineno, pos, flags=["exit" if leaves else "", "noop" if noop else "", "plain" if plain else ""], text=expression_key(s)[:4000] if plain else "", items=[role])
+            self.add("stmt", place, owner, s.lineno, s.end_lineno, pos, flags=["exit" if leaves else "", "noop" if noop else "", "plain" if plain else ""], text=bounded(expression_key(s), 4000) if plain else "", items=[role])
             if not isinstance(s, (*_FUNCTION, ast.ClassDef)):
                 for name in ("body", "orelse", "finalbody"):
                     if getattr(s, name, None):
@@ -345,7 +353,7 @@ class Facts:
             nodes = sum(not isinstance(n, ast.expr_context) for n in ast.walk(x))
             steps = sum(isinstance(n, (ast.Call, ast.BinOp, ast.Compare, ast.BoolOp, ast.Subscript, ast.comprehension, ast.IfExp)) for n in ast.walk(x))
             if nodes >= 15 and steps >= 2:
-                self.add("expression", owner=owner, line=x.lineno, end=x.end_lineno, a=nodes, b=x.col_offset, text=expression_key(x)[:8000])
+                self.add("expression", owner=owner, line=x.lineno, end=x.end_lineno, a=nodes, b=x.col_offset, text=bounded(expression_key(x), 8000))
         if isinstance(x, ast.BinOp) and isinstance(x.op, ast.Div) and not (isinstance(self.parents.get(x), ast.BinOp) and isinstance(self.parents[x].op, ast.Div)):
             segments = self.segments(x)
             if len(segments) >= 2 and any(s.startswith("'") for s in segments):
