@@ -4,7 +4,7 @@ Follow-the-regularised-leader with elastic-net penalties fits the weights on a b
 labelled rows (`sample_rows`); document frequencies come from all labelled training rows; one
 temperature, fitted on a part of the sample kept apart, calibrates the scores. Prediction is one
 pass over whole texts against a model of `BUCKETS` x languages floats, which is all that is
-broadcast (its size doesn't depend on the data; at most `max_languages` languages are learned).
+broadcast (its size doesn't depend on the data; every label of the sample is learned).
 
 Defined results: a null or empty text, or one without a letter, is `und` with score 0; without
 labelled rows every text is `und`. Repeated rows and ids are predicted row by row. A row without a
@@ -113,7 +113,7 @@ def calibrated(model: Model, rows) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000, max_languages: int = 200) -> Model | None:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 3000) -> Model | None:
     """A model from labelled rows. sample_rows bounds the rows that the weights and the temperature are fitted on."""
     rows = labelled.select(F.col(id_col).cast("string").alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")).filter("_lang is not null and _text is not null")
 
@@ -148,9 +148,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     picked = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
     sample = picked.mapInArrow(sample_pass, "_id string, _lang string, at binary, n binary").toLocalIterator()
     got = sorted((r["_id"] or "", r["_lang"], bytes(r["at"]), bytes(r["n"])) for _, r in zip(range(2 * sample_rows), sample, strict=False))
-    languages = sorted({x for _, x, *_ in got})[:max_languages]
+    languages = sorted({x for _, x, *_ in got})
     place = {x: i for i, x in enumerate(languages)}
-    data = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(n, "<u4").astype(np.float64), place[x]) for _, x, a, n in got if x in place and a]
+    data = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(n, "<u4").astype(np.float64), place[x]) for _, x, a, n in got if a]
     if not data:
         return None
     apart = data[::5] if len(data) >= 50 else []

@@ -60,6 +60,13 @@ def test_language_id_without_labels(spark):
     assert langid.language_id(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 5, 50), f"l{i % 230:03}") for i in range(460)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted({x for *_, x in rows})
+
+
 # -- 2 ---------------------------------------------------------------------------------
 
 
