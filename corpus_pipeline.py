@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, table, without_spans
 from orelode.llm.decontaminate import decontaminate
-from orelode.llm.jaccard import near_duplicates
+from orelode.llm.jaccard import jaccard_components, near_duplicates
 from orelode.llm.langid import language_id
 from orelode.llm.linededup import line_dedup
 from orelode.llm.packing import best_fit_packing
@@ -29,9 +29,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of ten and more documents go; texts that are mostly such lines are copies, and wait for the next stage."""
-    out = line_dedup(docs, min_docs=10, min_chars=1, most_share=0.5)
-    return _counted(out, docs.columns)
+    """Lines of ten and more documents go; near duplicates, of which the next stage keeps one, count as one document."""
+    found = jaccard_components(docs, k=5, num=80, den=100).filter(F.col("component_id") != F.col("doc_id"))
+    classes = Scratch(spark, "pipeline-lines").keep(found.select("_row", F.col("component_id").alias("_class")).dropDuplicates(["_row"]), "classes")
+    row = F.xxhash64(F.lit(5), F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    classed = docs.withColumn("_row", row).join(classes, "_row", "left").drop("_row")
+    return _counted(line_dedup(classed, min_docs=10, min_chars=1, class_col="_class"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,17 +22,20 @@ from orelode.llm.common import Scratch, ascii_lower
 _STRIP = " \t\n\x0b\x0c\r"
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, most_share: float | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, most_share: float | None = None, class_col: str | None = None) -> DataFrame:
     """docs with text_col rebuilt from the lines that stay, and n_lines and n_dropped.
 
+    With class_col, documents of one class (copies of each other) count as one; a null class is the document's own id.
+
     With most_share, a text that would lose more than this share of its characters is left as it is (n_dropped 0): shared
     lines that make up most of a text make it a copy, which is a near-duplicate stage's to settle, not boilerplate.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.xxhash64(F.lit(1), F.col(id_col).cast("string"), text)
+    owner = F.coalesce(F.col(class_col).cast("string"), F.col(id_col).cast("string")) if class_col else F.col(id_col).cast("string")
     one = F.struct(F.xxhash64("key").alias("a"), F.xxhash64(F.lit(7), "key").alias("b"))
     lines = (
-        docs.select(key.alias("_ld_row"), F.col(id_col).cast("string").alias("_ld_id"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
+        docs.select(key.alias("_ld_row"), owner.alias("_ld_id"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
         .select("_ld_row", "_ld_id", F.posexplode_outer("lines").alias("pos", "line"))
         .select("_ld_row", "_ld_id", "pos", F.btrim("line", F.lit(_STRIP)).alias("key"))
         .filter(F.length("key") >= min_chars)

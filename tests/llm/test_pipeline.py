@@ -45,3 +45,13 @@ def test_stages(spark, tmp_path):
             assert docs.filter(F.length("text") != F.col("n_chars")).count() == 0
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_boilerplate_goes_and_copies_stay(spark, tmp_path):
+    rng = random.Random(8)
+    shared, copied = [prose(rng, 20, 9000) for _ in range(3)], prose(rng, 100, 9000)
+    rows = [(i, "\n".join([*shared, prose(rng, 40, 9000)])) for i in range(12)]  # 60 % boilerplate
+    rows += [(100 + i, "\n".join([copied, f"copy {i % 4}"])) for i in range(24)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCUMENTS)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_shared_lines(spark, docs, str(tmp_path)).collect()}
+    assert out == {i: t.split("\n")[-1] if i < 100 else t for i, t in rows}
