@@ -18,8 +18,8 @@ from array import array
 import numpy as np
 
 _U = np.uint64
-#: Words and ids that a worker keeps before it starts anew (bounded memory: about 100 MB).
-MOST_WORDS, MOST_IDS, SLOT_BITS = 1_500_000, 1 << 23, 22
+#: Words and ids that a worker keeps before it starts anew (bounded memory: about 80 MB).
+MOST_WORDS, MOST_IDS, SLOT_BITS = 1_000_000, 1 << 23, 21
 #: Bytes of the words that numpy looks up, two numbers each; longer ones are looked up in a dictionary.
 SHORT = 15
 #: White space inside a piece of a cut text: the text then goes to the library whole.

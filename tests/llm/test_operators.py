@@ -448,11 +448,39 @@ def test_chain_takes_collinear_matches():
     assert a[best].tolist() == [0, 10, 20, 30]
 
 
-def test_minimizers_are_shared_by_equal_runs():
+def test_matched_stretches_are_brute_forces():
     rng = np.random.default_rng(6)
-    run = rng.integers(0, 1 << 60, 12).astype(np.uint64)
-    a, b = (np.concatenate([rng.integers(0, 1 << 60, n).astype(np.uint64), run, rng.integers(0, 1 << 60, 9).astype(np.uint64)]) for n in (30, 17))
-    assert set(a[substrings.minimizers(a, 12)]) & set(b[substrings.minimizers(b, 12)]) & set(run)
+    for n in (0, 3, 30, 200):
+        wa, wb = (rng.integers(0, 6, m).astype(np.uint64) for m in (n, n + 5))
+        a, b, sizes = substrings.matched(shingles.shingle_hashes(wa, 4), shingles.shingle_hashes(wb, 4), 4)
+        same = {(i, j) for i in range(n - 3) for j in range(n + 2) if (wa[i : i + 4] == wb[j : j + 4]).all()}
+        assert {(i + t, j + t) for i, j, m in zip(a, b, sizes, strict=True) for t in range(m - 3)} == same
+
+
+def test_words_between_are_the_longest_common_subsequence():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        x, y = (rng.integers(0, 4, int(n)) for n in rng.integers(0, 9, 2))
+        best = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + (x[i] == y[j]))
+        assert substrings._between(x, y) == best[-1, -1]
+    x = rng.integers(0, 10_000, 601)
+    assert substrings._between(np.delete(x, 300), x) == 600
+
+
+def test_a_seed_leads_to_the_least_document_slice_by_slice():
+    rng = np.random.default_rng(9)
+    x = np.empty(400, substrings._SEED)
+    x["seed"], x["row"], x["place"] = rng.integers(0, 40, 400), rng.integers(0, 30, 400), np.arange(400)
+    whole, _ = substrings._led(x)
+    first, known = substrings._led(x[:200])
+    second, _ = substrings._led(x[200:], known)
+    least = {s: min(x["row"][x["seed"] == s]) for s in set(x["seed"])}
+    assert all(m["first"] == least[m["seed"]] for m in whole)
+    assert {s for s in least if len(set(x["row"][x["seed"] == s])) > 1} == set(whole["seed"]) == set(first["seed"]) | set(second["seed"])
+    assert {(m["seed"], m["row"]) for m in whole} == {(m["seed"], m["row"]) for m in np.concatenate([first, second])}
 
 
 def test_shingles_equal_only_for_equal_words():
