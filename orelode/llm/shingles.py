@@ -6,17 +6,13 @@ import numpy as np
 
 _U = np.uint64
 _RNG = np.random.default_rng(20_240_601)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The first n bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 #: A-Z lower-cased in UTF-8 bytes.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Bytes that part words: space and \x09-\x0D.
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,34 +22,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_STEP, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and where each text's words start (and the end).
 
-
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order; where each text's words start (and the end); each word's byte place.
-
-    A word is a run of characters other than space and \\x09-\\x0D, A-Z lower-cased. Its hash is the
-    difference of two prefix sums of byte values times powers of an odd number, shifted to place 0.
+    A word is a run of characters other than space and \\x09-\\x0D, A-Z lower-cased. Its hash takes in its bytes eight at a time, and its length.
     """
     coded = [(x or "").encode().translate(LOWER) for x in texts]
-    data = np.frombuffer(b" " + b" ".join(coded) + b" ", np.uint8)
-    space = _SPACE[data]
+    raw = b" " + b" ".join(coded) + b" "
+    data = np.frombuffer(raw + b"\0" * 8, np.uint8)
+    seen = data[: len(raw)]
+    space = (seen == 32) | (seen - np.uint8(9) < 5)  # unsigned: only \x09 to \x0D are under 5
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    size = end - start
+    eight = np.lib.stride_tricks.as_strided(data, (len(raw) + 1, 8), (1, 1))
+    hashes = mix((eight[start].view(np.uint64).ravel() & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * _STEP)
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more):
+        part = eight[start[more] + at].view(np.uint64).ravel() & _FIRST[np.minimum(size[more] - at, 8)]
+        hashes[more] = mix(hashes[more] * _STEP + part)
+        at += 8
+        more = more[size[more] > at]
     begins = np.cumsum([1] + [len(x) + 1 for x in coded])
-    first = np.searchsorted(start, begins)
-    return hashes, first, start - begins[np.searchsorted(begins, start, "right") - 1]
+    return hashes, np.searchsorted(start, begins)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -69,7 +60,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Sorted distinct k-word shingles of each text; with fewer words the whole sequence as one; without words none."""
-    words, first, _ = word_hashes(texts)
+    words, first = word_hashes(texts)
     runs = shingle_hashes(words, k)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
