@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,11 +23,14 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a folder of this machine."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of this machine if all runs in this process (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all its machines share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='orelode-')}")
+            atexit.register(shutil.rmtree, _OWN[0].removeprefix("file://"), ignore_errors=True)
         folder = _OWN[0]
     return folder.rstrip("/")
 

@@ -11,7 +11,7 @@ benchmark is too large.
 
 Defined results: null or empty texts, and texts without words, have no hits; null, empty and wordless
 items have no window; items with the same text all count; null item ids count as ''. Repeated rows
-and extra columns are kept row by row.
+and extra columns are kept row by row; columns named like a result are replaced by it. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from orelode.llm.tokens import chunks, held
 #: A-Z lower-cased; every byte outside words [0-9a-z\x80-\xff] a space. Code points over 127 are bytes over 127.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _FOREIGN = "\0"
+RESULTS = ("n_words", "n_hit", "hit_items", "hit_spans", "contaminated")
 
 
 def words(text: str) -> list[bytes]:
@@ -96,7 +97,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_slices = max(1, -(-size // slice_bytes))
-    names = [c for c in docs.columns if c != text_col]  # the text goes through the workers once
+    names = [c for c in docs.columns if c not in (text_col, *RESULTS)]  # the text goes through the workers once
     state = docs.select(*names, F.lit(None).cast("binary").alias("_dc_bits"), F.array().cast("array<string>").alias("_dc_items"), F.col(text_col).cast("string").alias("_dc_text"))
     scratch = Scratch(spark, "decontaminate")
     for k in range(n_slices):
@@ -107,7 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             state = scratch.keep(state, f"slice{k}")
     out = state.withColumn("hit_items", F.array_sort(F.array_distinct("_dc_items")))
     hit = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
-    return out.withColumnRenamed("_dc_text", text_col).select(*docs.columns, "n_words", "n_hit", "hit_items", "hit_spans", hit.alias("contaminated"))
+    return out.withColumnRenamed("_dc_text", text_col).select(*(c for c in docs.columns if c not in RESULTS), "n_words", "n_hit", "hit_items", "hit_spans", hit.alias("contaminated"))
 
 
 def _scan(state: DataFrame, names: list[str], shared, window: int, last: bool) -> DataFrame:

@@ -29,7 +29,7 @@ from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, workers
@@ -120,10 +120,15 @@ def signatures(found: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A number for equal rows: a null id isn't an empty one, and a null text isn't an empty text."""
+    return F.xxhash64(F.lit(5), doc_id.isNull(), doc_id.cast("string"), text.isNull(), text.cast("string"))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """_row (equal only for equal rows), doc_id, text."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.xxhash64(F.lit(5), F.col(id_col).cast("string"), text).alias("_row"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    return docs.select(row_key(F.col(id_col), text).alias("_row"), F.col(id_col).alias("doc_id"), text.alias("text"))
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -309,7 +314,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     found = jaccard_components(docs, k, num, den, id_col, text_col)
     stays = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min_by("_row", F.struct("doc_id", "_row")).alias("_row")).select("_row", F.lit(True).alias("_stays"))
     bare = found.filter("n_shingles = 0").select("_row", F.lit(False).alias("_stays")).distinct()
-    row = F.xxhash64(F.lit(5), F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    kept = docs.withColumn("_row", row).join(stays.unionByName(bare), "_row")
+    kept = docs.withColumn("_row", row_key(F.col(id_col), F.col(text_col))).join(stays.unionByName(bare), "_row")
     one = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
     return kept.withColumn("_n", one).filter("_n = 1 or not _stays").select(*docs.columns)

@@ -8,7 +8,8 @@ broadcast (its size doesn't depend on the data; every label of the sample is lea
 
 Defined results: a null or empty text, or one without a letter, is `und` with score 0; without
 labelled rows every text is `und`. Repeated rows and ids are predicted row by row. A row without a
-doc_id is never trained on and counts as held out. Extra columns are ignored.
+doc_id is never trained on and counts as held out. Extra columns are ignored, or kept where asked
+for; those named held_out, lang_pred or score are replaced by the results.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from orelode.llm.tokens import chunks, held
 
 BUCKETS = 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
+#: Between two texts, twice: marks a text's start and end in the longer grams. A text may hold it too.
 _SEP = "\U0010ffff\U0010ffff"
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
 def features(texts: list[str]):
     """For each text the distinct buckets of its character 1- to 3-grams (lower case) and their counts."""
-    codes = np.frombuffer((_SEP.join(["", *(x.lower() for x in texts), ""])).encode("utf-32-le"), np.uint32)
+    texts = [x.lower() for x in texts]
+    codes = np.frombuffer((_SEP.join(["", *texts, ""])).encode("utf-32-le"), np.uint32)
     one = codes * _MIX[0]
     one ^= one >> np.uint32(15)
     two = (one[:-1] * _MIX[1]) ^ one[1:]
@@ -39,9 +42,8 @@ def features(texts: list[str]):
     three = (two[:-1] * _MIX[1]) ^ one[2:]
     three = (three ^ (three >> np.uint32(13))) * _MIX[2]
     grams = [(h >> np.uint32(17)).astype(np.int32) for h in (one * _MIX[2], two, three)]
-    edge = np.flatnonzero(codes == 0x10FFFF).reshape(-1, 2)
-    for a, b in zip(edge[:-1, 1], edge[1:, 0], strict=True):
-        # the separators beside a text mark its start and end in the longer grams
+    ends = np.cumsum([len(x) + 2 for x in texts])
+    for a, b in zip((ends - [len(x) for x in texts] - 1).tolist(), ends.tolist(), strict=True):
         counts = np.bincount(np.concatenate([grams[0][a + 1 : b], grams[1][a:b], grams[2][a - 1 : b]]), minlength=BUCKETS)
         at = np.flatnonzero(counts)
         yield at, counts[at]
@@ -168,7 +170,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """id, the columns of keep, lang_pred and score of every whole text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    cols = [c for c in dict.fromkeys([id_col, *keep]) if c != text_col]
+    cols = [c for c in dict.fromkeys([id_col, *keep]) if c not in (text_col, "lang_pred", "score")]
     kept = text_col in keep  # the text goes through the workers once
 
     def run(batches):
@@ -196,8 +198,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def language_id(docs: DataFrame, train: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def language_id(docs: DataFrame, train: DataFrame | None = None, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predictions for docs by a model learned from the rows of train (docs if none) outside the held-out fold."""
     labelled = docs if train is None else train
-    model = fit(labelled.filter(~held_out()))
-    return predict(docs.withColumn("held_out", held_out()), model, keep=(*keep, "held_out"))
+    model = fit(labelled.filter(~held_out(id_col)), id_col, text_col, lang_col)
+    return predict(docs.withColumn("held_out", held_out(id_col)), model, id_col, text_col, keep=(*keep, "held_out"))

@@ -7,8 +7,8 @@ travel back. Texts meet their positions in one join by document and are put toge
 
 Defined results: a null or empty text is one empty line, whose key is too short to count. Rows with
 an equal id count as one document but are each kept, in their own text. A null id is a document of
-its own (all rows with a null id count as one). Extra columns pass through; internal names begin
-with `_ld_`.
+its own (all rows with a null id count as one). Extra columns pass through, but those named n_lines or
+n_dropped, which are replaced by the results; internal names begin with `_ld_`. An empty table gives no row.
 """
 
 from __future__ import annotations

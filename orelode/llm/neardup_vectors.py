@@ -29,12 +29,16 @@ from orelode.llm.common import Scratch, workers
 from orelode.llm.components import block_components, components
 
 
+#: Rows of products with all centres that are held at once.
+ROWS = 512
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
     """k unit centres of unit vectors."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        home = (x @ centres.T).argmax(1)
+        home = np.concatenate([(x[i : i + ROWS] @ centres.T).argmax(1) for i in range(0, len(x), ROWS)])
         sums = np.zeros_like(centres)
         np.add.at(sums, home, x)
         norm = np.linalg.norm(sums, axis=1)
@@ -46,11 +50,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) ->
 
 def cells_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each unit vector, and a mark for each cell it is in (home or visit)."""
-    dots = x @ centres.T
-    home = dots.argmax(1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
-    reach = np.sqrt(2 - 2 * threshold) + 1e-6
-    return home, dots[np.arange(len(x)), home][:, None] - dots <= reach * apart[home] + 1e-9
+    apart *= np.sqrt(2 - 2 * threshold) + 1e-6
+    home, inside = np.empty(len(x), np.int64), np.empty((len(x), len(centres)), bool)
+    for i in range(0, len(x), ROWS):
+        dots = x[i : i + ROWS] @ centres.T
+        at = home[i : i + ROWS] = dots.argmax(1)
+        inside[i : i + ROWS] = dots[np.arange(len(dots)), at][:, None] - dots <= apart[at] + 1e-9
+    return home, inside
 
 
 def choose_centres(sample: np.ndarray, total: int, threshold: float) -> np.ndarray:

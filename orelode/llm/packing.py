@@ -4,8 +4,9 @@ Texts become token pieces of at most `capacity` (only longer ones are cut, the s
 Full pieces are sequences of their own. The others are dealt by hash into partitions of about
 `group` pieces; each is packed best fit decreasing, and dual feasible functions give a lower bound
 on its sequences. A partition that meets its bound is certified, and only its emptiest sequence
-stays open; of one with a gap a quarter of the sequences, the emptiest, stays open. Open pieces of
-many partitions meet in fewer ones and are packed again, until one partition is left. Every round is
+stays open; of one with a gap a quarter of the sequences, the emptiest, stays open, as far as they hold the
+partition's share of a later one. Open pieces of many partitions meet in fewer ones and are packed again, until one
+partition is left; no partition of any round has more than about `group` pieces. `bound` certifies the whole. Every round is
 written to the shared folder, so sequence numbers are settled once.
 
 Defined results: a null text is an empty one: its piece holds the end id only. Repeated rows are
@@ -29,14 +30,18 @@ _PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Sequences that any packing needs: the best of the volume bound and the dual feasible functions below.
+    """Sequences that any packing of pieces of these lengths needs."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing of count[n] pieces of each length n needs: the best of the volume bound and the dual feasible functions below.
 
     u(x) at a threshold e: items over capacity - e count whole, those under e nothing, the rest by
     length. phi(x) for k = 2..: floor((k + 1) x / capacity) / k, left as x / capacity where exact.
     """
-    if not len(lengths):
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
     x = np.arange(capacity + 1)
     best = -(-int(count @ x) // capacity)
     suffix_n, prefix_v = np.cumsum(count[::-1])[::-1], np.concatenate([[0], np.cumsum(count * x)])
@@ -105,22 +110,28 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = 2048, id_col: str = "doc
     return source.mapInArrow(run, _PIECE.format(id=kind) + ", sequence_id long")
 
 
-def _pack(open_pieces: DataFrame, round_no: int, capacity: int, last: bool) -> DataFrame:
-    """Each partition packed on its own: sequence_id, offset, and settled (false: the piece goes to the next round)."""
+def _pack(open_pieces: DataFrame, round_no: int, capacity: int, share: int) -> DataFrame:
+    """Each partition packed on its own: sequence_id, offset, and settled (false: the piece goes to the next round).
+
+    share: about as many pieces of a partition may stay open; none in the last round.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        table = pa.Table.from_batches([b.select(names) for b in batches])
-        if not table.num_rows:
+        got = [b.select(names) for b in batches if b.num_rows]
+        if not got:
             return
+        table = pa.Table.from_batches(got)
         # a total order, so that a task run again packs alike
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = table.column("length").to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
         gap = len(fill) - lower_bound(lengths, capacity)
-        reopened = 0 if last else max(1, len(fill) // 4 if gap else 1)
+        emptiest = np.argsort(fill, kind="stable")
+        within = int(np.searchsorted(np.cumsum(np.bincount(bins)[emptiest]), share, "right"))
+        reopened = max(1, min(len(fill) // 4, within) if gap else 1) if share else 0
         settled = np.ones(len(fill), bool)
-        settled[np.argsort(fill, kind="stable")[:reopened]] = False
+        settled[emptiest[:reopened]] = False
         seq = (round_no << 56 | TaskContext.get().partitionId() << 32) + bins
         out = table.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offsets)).append_column("settled", pa.array(settled[bins]))
         yield from out.to_batches(max_chunksize=20_000)
@@ -143,7 +154,7 @@ def best_fit_packing(docs: DataFrame, vocab: str, capacity: int = 2048, id_col:
         last = parts == 1
         # dealt by content, so alike at every run; a new salt each round, so that other pieces meet
         dealt = todo.repartition(parts, F.xxhash64(F.lit(round_no), "doc_id", "piece", "start", "ids_crc32"))
-        packed = scratch.keep(_pack(dealt, round_no, capacity, last), f"round{round_no}")
+        packed = scratch.keep(_pack(dealt, round_no, capacity, 0 if last else group // meet), f"round{round_no}")
         done.append(packed.filter("settled").select(*done[0].columns))
         if last:
             break
@@ -152,3 +163,11 @@ def best_fit_packing(docs: DataFrame, vocab: str, capacity: int = 2048, id_col:
     for x in done[1:]:
         out = out.unionByName(x)
     return out
+
+
+def bound(packed: DataFrame, capacity: int = 2048) -> int:
+    """Sequences that any packing of these pieces needs; a count per length, at most `capacity`, comes to the driver."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return bound_of_counts(count, capacity)

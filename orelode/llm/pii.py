@@ -3,7 +3,7 @@
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod 97 for IBANs, ranges
 for IP parts, digit counts for phones), and words nearby raise or lower a span's score. The base kinds
 (email, ip, card, phone) are reported whenever valid, whatever their score; the further kinds (iban,
-ssn, local_phone) need a valid form and a score of at least `min_score`.
+ssn, local_phone, access_key, secret) need a valid form and a score of at least `min_score`.
 
 A match's place comes from splitting the text by the same pattern: the gaps and the matches alternate,
 and their lengths add up to code-point offsets. The patterns are possessive and start only at a run's
@@ -12,7 +12,8 @@ the work linear in runs of any length. An IBAN's pattern proposes only where it
 capitals and digits that don't belong to it, so its end is looked for among the ends of words.
 
 Defined results: null and empty texts have no spans. Spans of different kinds may overlap; those of a
-kind don't. Rows and extra columns stay as they are.
+kind don't. Rows and extra columns stay as they are; a column named pii is replaced. The work is linear in a text and its
+matches but for blocks' arrays, one for every 256 matches.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9.+-])\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}(?![0-9.-])",
+    "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?i)(?<![a-z])(?:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?[\"']?[a-z0-9_+/.-]{8,}+",
 }
 BASE = ("email", "ip", "card", "phone")
+#: Matches that are gathered at once, and code points of a text's pieces.
+BLOCK, PIECE = 256, 4096
 #: Words that speak for a kind within `reach` characters before or after, and a kind's score without them.
 CONTEXT = {
     "email": "mail|contact|write|kontakt|correo|courriel",
@@ -40,8 +45,10 @@ CONTEXT = {
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": "ssn|social security|social-security",
     "local_phone": "phone|call|tel|mobile|fax",
+    "access_key": "key|aws|secret",
+    "secret": "login|user|account|auth",
 }
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.8, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.8, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3, "access_key": 0.9, "secret": 0.6}
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {
     x[:2]: int(x[2:])
@@ -90,26 +97,60 @@ def valid(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
+    if kind == "secret":
+        return match.rlike("[0-9]")  # of names and words alone, most are none
     return F.lit(True)
 
 
-def candidates(kind: str, text: Column) -> Column:
-    """Array of (start, match) of the kind's pattern; offsets from the gaps between matches.
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The aggregate carries a running offset and the array so far.
+
+def _fold(items: Column, step, none: Column) -> Column:
+    """The structs (start, match) that step(at, item) -> (at, start, match) gives in order, at from 0 on; those with a null match are left out.
+
+    Items are folded `BLOCK` at a time, so that what is found is copied to its block's end only, and the blocks' arrays once each.
     """
-    pattern = F.lit(PATTERNS[kind])
-    pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, match: string>>)").alias("found"))
+    kind = "array<struct<start: int, match: string>>"
+    empty, empties = F.expr(f"cast(array() as {kind})"), F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(state, item):
+        def told(x):
+            pair = F.struct(x["start"].alias("start"), x["match"].alias("match"))
+            return F.struct(x["at"].alias("at"), F.when(x["match"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(pair))).alias("found"))
+
+        return _let(step(state["at"], item), told)
+
+    def blocks(every):
+        def block(state, i):
+            inner = F.aggregate(F.slice(every, i * BLOCK + 1, F.lit(BLOCK)), F.struct(state["at"].alias("at"), empty.alias("found")), one)
+            return _let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(state["found"], F.array(x["found"])).alias("found")))
+
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int")), F.struct(F.lit(0).alias("at"), empties.alias("found")), block)["found"])
 
-    def step(state, pair):
-        begin = state["at"] + F.length(pair["gap"])
-        return F.struct((begin + F.coalesce(F.length(pair["match"]), F.lit(0))).alias("at"), F.when(pair["match"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(F.struct(begin.alias("start"), pair["match"].alias("match"))))).alias("found"))
+    return _let(items, lambda x: F.when(F.size(x) > 0, blocks(x)).otherwise(none))
 
-    return F.aggregate(pairs, start, step)["found"]
 
+def candidates(kind: str, text: Column, check: bool = True) -> Column:
+    """Array of (start, match) of the kind's pattern; offsets from the gaps between matches. With check, of valid ones only."""
+    pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("match"))
 
-def ibans(text: Column) -> Column:
+    def step(at, pair):
+        begin = at + F.length(pair["gap"])
+        match = F.when(pair["match"].isNotNull() & valid(kind, pair["match"]), pair["match"]) if check else pair["match"]
+        return F.struct((begin + F.coalesce(F.length(pair["match"]), F.lit(0))).alias("at"), begin.alias("start"), match.alias("match"))
+
+    return _fold(pairs, step, F.expr("cast(array() as array<struct<start: int, match: string>>)"))
+
+
+def _cut(pieces: Column, start: Column, n: Column) -> Column:
+    """n <= PIECE code points of a text from start on (from 0), without reading all that lies before them."""
+    i = F.floor(start / PIECE).cast("int")
+    return F.substr(F.concat_ws("", F.get(pieces, i), F.get(pieces, i + 1)), start - i * PIECE + 1, n)
+
+
+def ibans(text: Column, pieces: Column) -> Column:
     """Array of (start, match) of valid IBANs, those that start inside the one before left out.
 
     Of a country's IBANs the end is at its length, or where the whole run ends; of unknown countries at the last end that is valid.
@@ -117,37 +158,40 @@ def ibans(text: Column) -> Column:
     lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
 
     def ended(x):
-        around = F.substr(text, x["start"] + 1, F.lit(65))
-        run = F.regexp_extract(around, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0)
+        def chosen(near):
+            around, run = near["around"], near["run"]
+
+            def ends(n):
+                match = F.substr(run, F.lit(1), n)
+                size, usual = F.length(F.replace(match, F.lit(" "), F.lit(""))), F.element_at(lengths, F.substring(run, 1, 2))
+                fits = (size >= 15) & (usual.isNull() | (size == usual) | (n == F.length(run)))
+                # nested, so that only few ends are summed
+                return F.when(~F.endswith(match, F.lit(" ")) & ~F.substr(around, n + 1, F.lit(1)).rlike("[A-Za-z0-9]") & fits, mod97(match)).otherwise(F.lit(False))
 
-        def ends(n):
-            match = F.substr(run, F.lit(1), n)
-            size, usual = F.length(F.replace(match, F.lit(" "), F.lit(""))), F.element_at(lengths, F.substring(run, 1, 2))
-            fits = (size >= 15) & (usual.isNull() | (size == usual) | (n == F.length(run)))
-            # nested, so that only few ends are summed
-            return F.when(~F.endswith(match, F.lit(" ")) & ~F.substr(around, n + 1, F.lit(1)).rlike("[A-Za-z0-9]") & fits, mod97(match)).otherwise(F.lit(False))
+            found = F.filter(F.sequence(F.length(run), F.lit(15), F.lit(-1)), ends)
+            usual = F.filter(found, lambda n: F.length(F.replace(F.substr(run, F.lit(1), n), F.lit(" "), F.lit(""))) == F.element_at(lengths, F.substring(run, 1, 2)))
+            return F.struct(x["start"].alias("start"), F.substr(run, F.lit(1), F.coalesce(F.get(usual, F.lit(0)), F.get(found, F.lit(0)))).alias("match"))
 
-        found = F.filter(F.sequence(F.length(run), F.lit(15), F.lit(-1)), ends)
-        usual = F.filter(found, lambda n: F.length(F.replace(F.substr(run, F.lit(1), n), F.lit(" "), F.lit(""))) == F.element_at(lengths, F.substring(run, 1, 2)))
-        return F.struct(x["start"].alias("start"), F.substr(run, F.lit(1), F.coalesce(F.get(usual, F.lit(0)), F.get(found, F.lit(0)))).alias("match"))
+        around = _cut(pieces, x["start"], F.lit(65))
+        return _let(F.struct(around.alias("around"), F.regexp_extract(around, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0).alias("run")), chosen)
 
-    valid_ones = F.filter(F.transform(candidates("iban", text), ended), lambda x: x["match"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, match: string>>)").alias("found"))
+    valid_ones = F.filter(F.transform(candidates("iban", text, check=False), ended), lambda x: x["match"].isNotNull())
 
-    def step(state, x):
-        after = F.struct((x["start"] + F.length(x["match"])).alias("at"), F.concat(state["found"], F.array(F.struct(x["start"].alias("start"), x["match"].alias("match")))).alias("found"))
-        return F.when(x["start"] >= state["at"], after).otherwise(state)
+    def step(at, x):
+        free = x["start"] >= at
+        return F.struct(F.when(free, x["start"] + F.length(x["match"])).otherwise(at).alias("at"), x["start"].alias("start"), F.when(free, x["match"]).alias("match"))
 
-    return F.aggregate(valid_ones, start, step)["found"]
+    return _fold(valid_ones, step, F.expr("cast(array() as array<struct<start: int, match: string>>)"))
 
 
-def spans_of(kind: str, text: Column, min_score: float, reach: int) -> Column:
+def spans_of(kind: str, text: Column, pieces: Column, min_score: float, reach: int) -> Column:
     """Array of (start, place of the kind, kind, end, score)."""
     order = list(PATTERNS).index(kind)
-    found = ibans(text) if kind == "iban" else F.filter(candidates(kind, text), lambda x: valid(kind, x["match"]))
+    found = ibans(text, pieces) if kind == "iban" else candidates(kind, text)
 
     def scored(x):
-        around = F.lower(F.concat_ws("\n", F.substr(text, F.greatest(x["start"] - reach + 1, F.lit(1)), F.least(x["start"], F.lit(reach))), F.substr(text, x["start"] + F.length(x["match"]) + 1, F.lit(reach))))
+        before = _cut(pieces, F.greatest(x["start"] - reach, F.lit(0)), F.least(x["start"], F.lit(reach)))
+        around = F.lower(F.concat_ws("\n", before, _cut(pieces, x["start"] + F.length(x["match"]), F.lit(reach))))
         score = F.lit(PRIOR[kind]) + F.when(around.rlike(CONTEXT[kind]), 0.3).otherwise(0.0) - F.when(around.rlike(_AGAINST), 0.3).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(order).alias("place"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["match"])).alias("end"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
@@ -157,19 +201,21 @@ def spans_of(kind: str, text: Column, min_score: float, reach: int) -> Column:
 
 #: What a text must hold for a kind to be looked for: cheap tests before the patterns.
 _NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
+_LOOKS = {"ip": r"[0-9]\.[0-9]", "iban": "[A-Z][0-9][0-9]", "access_key": "A[KS]IA", "secret": "(?i)passw|token|secret|api[_-]?key"}
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", min_score: float = 0.5, reach: int = 40) -> DataFrame:
     """docs with pii: an array of (start, place, kind, end, score) in order of start, then kind."""
     empty = F.expr("cast(array() as array<struct<start: int, place: int, kind: string, end: int, score: double>>)")
     work = docs.withColumn("_pii_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    text = F.col("_pii_text")
+    work = work.withColumn("_pii_pieces", F.regexp_extract_all("_pii_text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    text, pieces = F.col("_pii_text"), F.col("_pii_pieces")
     columns = []
     for kind in PATTERNS:
-        needs = text.contains(_NEEDS[kind]) if kind in _NEEDS else text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else "[A-Z][0-9][0-9]" if kind == "iban" else "[0-9]")
-        columns.append(F.when(needs, spans_of(kind, text, min_score, reach)).otherwise(empty))
+        needs = text.contains(_NEEDS[kind]) if kind in _NEEDS else text.rlike(_LOOKS.get(kind, "[0-9]"))
+        columns.append(F.when(needs, spans_of(kind, text, pieces, min_score, reach)).otherwise(empty))
     found = F.array_sort(F.concat(*columns))
-    return work.withColumn("pii", found).drop("_pii_text")
+    return work.withColumn("pii", found).drop("_pii_text", "_pii_pieces")
 
 
 def joined(spans: Column) -> Column:

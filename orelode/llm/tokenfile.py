@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, workers
-from orelode.llm.tokens import chunks, encoder, vocabulary_size
+from orelode.llm.tokens import chunks, encoder, held, vocabulary_size
 
 #: Lengths of the four codes that each control byte stands for, and their sum.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
@@ -131,6 +131,7 @@ def write_tokens(docs: DataFrame, vocab: str, path: str | None = None, id_col: s
     shared = spark.sparkContext.broadcast((rank, first))
 
     def code(batches):
+        held("codes")  # the encoder of the pass before goes
         rank, first = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
@@ -154,6 +155,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     shared = spark.sparkContext.broadcast(by_rank)
 
     def decode(batches):
+        held("codes")
         by_rank = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
