@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, table, without_spans
 from orelode.llm.decontaminate import decontaminate
-from orelode.llm.jaccard import jaccard_components, near_duplicates
+from orelode.llm.jaccard import jaccard_components, near_duplicates, row_key
 from orelode.llm.langid import language_id
 from orelode.llm.linededup import line_dedup
 from orelode.llm.packing import best_fit_packing
@@ -24,17 +24,18 @@ LEAST_SCORE = 0.4
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or letters, or like no learned language, go. The model learns from the documents' own labels."""
-    out = language_id(docs, keep=tuple(docs.columns))
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    plain, name = _numbered(docs)
+    out = language_id(plain, keep=tuple(plain.columns), id_col=name["doc_id"], text_col=name["text"], lang_col=name["lang"])
+    return _named(out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten and more documents go; near duplicates, of which the next stage keeps one, count as one document."""
     found = jaccard_components(docs, k=5, num=80, den=100).filter(F.col("component_id") != F.col("doc_id"))
     classes = Scratch(spark, "pipeline-lines").keep(found.select("_row", F.col("component_id").alias("_class")).dropDuplicates(["_row"]), "classes")
-    row = F.xxhash64(F.lit(5), F.col("doc_id").cast("string"), F.col("text").cast("string"))
-    classed = docs.withColumn("_row", row).join(classes, "_row", "left").drop("_row")
-    return _counted(line_dedup(classed, min_docs=10, min_chars=1, class_col="_class"), docs.columns)
+    plain, name = _numbered(docs)
+    classed = plain.withColumn("_row", row_key(F.col(name["doc_id"]), F.col(name["text"]))).join(classes, "_row", "left").drop("_row")
+    return _counted(_named(line_dedup(classed, name["doc_id"], name["text"], min_docs=10, min_chars=1, class_col="_class"), docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +45,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; shorter hits in others are cut from their texts."""
-    out = decontaminate(docs, table(spark, sf_dir, "benchmark"), window=13, share=20).filter(~F.col("contaminated"))
-    text = F.col("text").cast("string")
-    cut = out.withColumn("text", F.when(F.size("hit_spans") > 0, without_spans(text, F.col("hit_spans"))).otherwise(text))
-    return _counted(cut, docs.columns)
+    plain, name = _numbered(docs)
+    out = decontaminate(plain, table(spark, sf_dir, "benchmark"), name["doc_id"], name["text"], window=13, share=20).filter(~F.col("contaminated"))
+    text = F.col(name["text"]).cast("string")
+    cut = out.withColumn(name["text"], F.when(F.size("hit_spans") > 0, without_spans(text, F.col("hit_spans"))).otherwise(text))
+    return _counted(_named(cut, docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +57,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs, vocabulary(), 2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents; n_chars follows the text."""
-    out = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else docs
-    return out.select(*columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with names that no operator gives to its results, and the new name of each column."""
+    name = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*name.values()), name
+
+
+def _named(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs under their own names."""
+    return out.select(*(F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars, where there is one, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 STAGES = [
