@@ -52,7 +52,11 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._drop(name)
+
+    def _drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -27,6 +27,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if n > 1:
             scratch.drop(f"{name}-{n - 1}")
         if not moved:
+            scratch.drop(f"{name}-both")
             return labels
     raise RuntimeError("components did not settle")
 

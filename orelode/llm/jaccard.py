@@ -301,7 +301,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         named = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         merged = components(named, scratch, f"merge{n}").select(F.col("node").alias("label"), F.col("label").alias("new"))
         labels = scratch.keep(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), f"labels{n}")
+        scratch.drop(f"state{n - 1}", f"links{n}", *(["met"] if n == 1 else []), *(["large"] if n == 2 else []), f"labels{n - 1}")
         todo = state.join(pivots.select("sig", F.col("pivot").alias("fp"), F.lit(True).alias("was")), ["sig", "fp"], "left").select("sig", "fp", F.coalesce("was", F.lit(False)).alias("pivoted"))
+    scratch.drop("texts", *(f"pairs{i}" for i in range(1, n)), f"state{n - 1}", f"state{n}", "small")
+    scratch.release()
     # component ids by fingerprint first: a fingerprint of very many copies is one row here
     least = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = least.join(least.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")

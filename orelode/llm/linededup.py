@@ -13,7 +13,7 @@ n_dropped, which are replaced by the results; internal names begin with `_ld_`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, ascii_lower
@@ -22,20 +22,17 @@ from orelode.llm.common import Scratch, ascii_lower
 _STRIP = " \t\n\x0b\x0c\r"
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, most_share: float | None = None, class_col: str | None = None) -> DataFrame:
-    """docs with text_col rebuilt from the lines that stay, and n_lines and n_dropped.
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit(1), F.col(id_col).isNull(), F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
-    With class_col, documents of one class (copies of each other) count as one; a null class is the document's own id.
 
-    With most_share, a text that would lose more than this share of its characters is left as it is (n_dropped 0): shared
-    lines that make up most of a text make it a copy, which is a near-duplicate stage's to settle, not boilerplate.
-    """
+def _shared_places(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, class_col: str | None) -> DataFrame:
+    """_ld_row and the places of its lines that min_docs documents (or classes) have: _ld_gone."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.xxhash64(F.lit(1), F.col(id_col).cast("string"), text)
     owner = F.coalesce(F.col(class_col).cast("string"), F.col(id_col).cast("string")) if class_col else F.col(id_col).cast("string")
     one = F.struct(F.xxhash64("key").alias("a"), F.xxhash64(F.lit(7), "key").alias("b"))
     lines = (
-        docs.select(key.alias("_ld_row"), owner.alias("_ld_id"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
+        docs.select(_row_key(docs, id_col, text_col).alias("_ld_row"), owner.alias("_ld_id"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
         .select("_ld_row", "_ld_id", F.posexplode_outer("lines").alias("pos", "line"))
         .select("_ld_row", "_ld_id", "pos", F.btrim("line", F.lit(_STRIP)).alias("key"))
         .filter(F.length("key") >= min_chars)
@@ -46,12 +43,35 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = lines.select("a", "b", F.coalesce("_ld_id", F.lit("")).alias("id"), F.col("_ld_id").isNull().alias("none")).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
     # written, so that the join below deals both sides itself and can split a hot line
     shared = Scratch(docs.sparkSession, "lines").keep(shared, "shared")
-    gone = lines.select("_ld_row", "pos", "a", "b").join(shared, ["a", "b"], "left_semi").groupBy("_ld_row").agg(F.collect_set("pos").alias("_ld_gone"))
-    whole = docs.withColumn("_ld_row", key).join(gone, "_ld_row", "left").drop("_ld_row")
+    return lines.select("_ld_row", "pos", "a", "b").join(shared, ["a", "b"], "left_semi").groupBy("_ld_row").agg(F.collect_set("pos").alias("_ld_gone"))
+
+
+def _kept(lines: Column, gone: Column) -> Column:
+    """The lines at the places that stay, in order (a hash set inside, so linear in the lines), joined."""
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+
+def mostly_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, share: float = 0.3) -> DataFrame:
+    """The rows of docs that would lose at least this share of their characters: boilerplate makes up much of them, or they are copies."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = docs.withColumn("_ld_row", _row_key(docs, id_col, text_col)).join(_shared_places(docs, id_col, text_col, min_docs, min_chars, None), "_ld_row")
+    return whole.filter(F.length(_kept(F.split(text, "\n", -1), F.col("_ld_gone"))) <= F.length(text) * (1 - share)).select(*docs.columns)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, most_share: float | None = None, class_col: str | None = None) -> DataFrame:
+    """docs with text_col rebuilt from the lines that stay, and n_lines and n_dropped.
+
+    With class_col, documents of one class (copies of each other) count as one; a null class is the document's own id.
+
+    With most_share, a text that would lose more than this share of its characters is left as it is (n_dropped 0): shared
+    lines that make up most of a text make it a copy, which is a near-duplicate stage's to settle, not boilerplate.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    gone = _shared_places(docs, id_col, text_col, min_docs, min_chars, class_col)
+    whole = docs.withColumn("_ld_row", _row_key(docs, id_col, text_col)).join(gone, "_ld_row", "left").drop("_ld_row")
     cut = whole.withColumn("_ld_lines", F.split(text, "\n", -1)).withColumn("n_lines", F.size("_ld_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long"))
-    # places that stay, in order (a hash set inside, so linear in the lines), then the lines at them
-    places = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.col("_ld_gone"))
-    kept = F.array_join(F.transform(places, lambda i: F.get(F.col("_ld_lines"), i)), "\n")
+    kept = _kept(F.col("_ld_lines"), F.col("_ld_gone"))
     if most_share is not None:
         cut = cut.withColumn("_ld_kept", F.when(F.col("n_dropped") > 0, kept))
         alone = F.length(text) - F.length("_ld_kept") > F.length(text) * most_share
