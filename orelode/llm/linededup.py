@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, ascii_lower
+from orelode.llm.components import components
 
 #: Stripped at both ends of a line: space, tab, line feed, vertical tab, form feed, carriage return.
 _STRIP = " \t\n\x0b\x0c\r"
+#: Of three least hashes each: at a similarity of 0.65 nine in ten pairs share a band.
+BANDS = 8
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(1), F.col(id_col).isNull(), F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
@@ -32,7 +35,7 @@ def _shared_places(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
     owner = F.coalesce(F.col(class_col).cast("string"), F.col(id_col).cast("string")) if class_col else F.col(id_col).cast("string")
     one = F.struct(F.xxhash64("key").alias("a"), F.xxhash64(F.lit(7), "key").alias("b"))
     lines = (
-        docs.select(_row_key(docs, id_col, text_col).alias("_ld_row"), owner.alias("_ld_id"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
+        docs.select(row_key(docs, id_col, text_col).alias("_ld_row"), owner.alias("_ld_id"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
         .select("_ld_row", "_ld_id", F.posexplode_outer("lines").alias("pos", "line"))
         .select("_ld_row", "_ld_id", "pos", F.btrim("line", F.lit(_STRIP)).alias("key"))
         .filter(F.length("key") >= min_chars)
@@ -55,10 +58,36 @@ def _kept(lines: Column, gone: Column) -> Column:
 def mostly_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, share: float = 0.3) -> DataFrame:
     """The rows of docs that would lose at least this share of their characters: boilerplate makes up much of them, or they are copies."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = docs.withColumn("_ld_row", _row_key(docs, id_col, text_col)).join(_shared_places(docs, id_col, text_col, min_docs, min_chars, None), "_ld_row")
+    whole = docs.withColumn("_ld_row", row_key(docs, id_col, text_col)).join(_shared_places(docs, id_col, text_col, min_docs, min_chars, None), "_ld_row")
     return whole.filter(F.length(_kept(F.split(text, "\n", -1), F.col("_ld_gone"))) <= F.length(text) * (1 - share)).select(*docs.columns)
 
 
+def copy_classes(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 60, den: int = 100) -> DataFrame:
+    """_ld_row and class of every row of docs: equal for texts linked by the similarity of their k-word shingles, with DataFrame functions only.
+
+    Least hashes of the shingles under `3 * BANDS` seeds, three a band, give candidates, each with the least set of its band; the sets themselves decide.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    words = F.filter(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    runs = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k))))
+    rows = scratch.keep(docs.select(row_key(docs, id_col, text_col).alias("_ld_row"), F.array_sort(F.array_distinct(F.get(runs, F.lit(0)))).alias("set")).withColumn("h", F.xxhash64("set")), "shingles")
+    sets = scratch.keep(rows.select("h", "set").dropDuplicates(["h"]), "sets")
+
+    def least_hash(seed: int) -> Column:
+        return F.array_min(F.transform("set", lambda x: F.xxhash64(x, F.lit(seed))))
+
+    least = [least_hash(seed) for seed in range(3 * BANDS)]
+    bands = scratch.keep(sets.select("h", F.explode(F.array(*(F.xxhash64(F.lit(b), *least[3 * b : 3 * b + 3]) for b in range(BANDS)))).alias("band")), "bands")
+    heads = scratch.keep(bands.groupBy("band").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a < z").select("band", "a"), "heads")
+    pairs = bands.join(heads, "band").filter("h <> a").select("a", F.col("h").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("sb")), "b")
+    met = F.size(F.array_intersect("sa", "sb"))
+    links = scratch.keep(both.select("a", "b", met.alias("met"), (F.size("sa") + F.size("sb")).alias("n")).filter(den * F.col("met") >= num * (F.col("n") - F.col("met"))), "links")
+    labels = components(links, scratch, "classes")
+    named = rows.select("_ld_row", "h").join(labels.withColumnRenamed("node", "h"), "h", "left")
+    return named.select("_ld_row", F.coalesce("label", "h").alias("class")).dropDuplicates(["_ld_row"])
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, most_share: float | None = None, class_col: str | None = None) -> DataFrame:
     """docs with text_col rebuilt from the lines that stay, and n_lines and n_dropped.
 
@@ -69,7 +98,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     gone = _shared_places(docs, id_col, text_col, min_docs, min_chars, class_col)
-    whole = docs.withColumn("_ld_row", _row_key(docs, id_col, text_col)).join(gone, "_ld_row", "left").drop("_ld_row")
+    whole = docs.withColumn("_ld_row", row_key(docs, id_col, text_col)).join(gone, "_ld_row", "left").drop("_ld_row")
     cut = whole.withColumn("_ld_lines", F.split(text, "\n", -1)).withColumn("n_lines", F.size("_ld_lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long"))
     kept = _kept(F.col("_ld_lines"), F.col("_ld_gone"))
     if most_share is not None:
