@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, table, without_spans
 from orelode.llm.decontaminate import decontaminate
-from orelode.llm.jaccard import jaccard_components, near_duplicates, row_key
+from orelode.llm.jaccard import near_duplicates
 from orelode.llm.langid import language_id
-from orelode.llm.linededup import line_dedup, mostly_shared
+from orelode.llm.linededup import copy_classes, line_dedup, mostly_shared, row_key
 from orelode.llm.packing import best_fit_packing
 from orelode.llm.tokens import vocabulary
 
@@ -33,16 +33,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten and more documents go. A group of near duplicates, of which the next stage keeps one, would lose most lines to each
-    other: texts that would lose SHARED of their characters are held against each other, and near duplicates among them count as one document."""
+    other: texts that would lose SHARED of their characters are held against each other, and copies among them count as one document."""
     scratch = Scratch(spark, "pipeline-lines")
     likely = scratch.keep(mostly_shared(docs.select("doc_id", "text"), min_docs=10, min_chars=1, share=SHARED), "likely")
-    scratch.release()
-    found = jaccard_components(likely, k=5, num=80, den=100).filter(F.col("component_id") != F.col("doc_id"))
-    classes = scratch.keep(found.select("_row", F.col("component_id").alias("_class")).dropDuplicates(["_row"]), "classes")
-    scratch.drop("likely")
+    classes = scratch.keep(copy_classes(likely, scratch), "classes").withColumnRenamed("class", "_class")
+    scratch.drop("likely", "shingles", "sets", "bands", "heads", "links")
     scratch.release()
     plain, name = _numbered(docs)
-    classed = plain.withColumn("_row", row_key(F.col(name["doc_id"]), F.col(name["text"]))).join(classes, "_row", "left").drop("_row")
+    classed = plain.withColumn("_key", row_key(plain, name["doc_id"], name["text"])).join(classes.withColumnRenamed("_ld_row", "_key"), "_key", "left").drop("_key")
     return _counted(_named(line_dedup(classed, name["doc_id"], name["text"], min_docs=10, min_chars=1, class_col="_class"), docs))
 
 
