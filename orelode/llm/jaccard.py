@@ -12,7 +12,8 @@ Sets that share a signature aren't paired with each other. First every signature
 members with one pivot. Groups that then still hold several components go on: of up to `LARGE`
 members, more pivots (four times as many each round) meet the members that aren't linked with them
 yet; larger groups are cut into blocks, and pairs of blocks are compared by matrix products within a
-task, which returns one edge per linked set. Comparisons are exact, on whole texts; exact copies of a
+task, which returns one edge per linked set. Of larger groups that overlap, a few come first, as the others are mostly
+one component then. Pairs whose sketches differ in more bits than linked sets may in shingles are never fetched. Comparisons are exact, on whole texts; exact copies of a
 set are compared once. Texts of a group never meet in one task beyond two blocks.
 
 Defined results: null and empty texts, and texts without words, have size 0 and link with nothing; they are their own
@@ -40,6 +41,8 @@ from orelode.llm.tokens import chunks, held
 _U = np.uint64
 #: Members from which a group is compared by blocks, and sets of a block.
 LARGE, BLOCK = 40, 1200
+#: Cells of a set's sketch.
+SKETCH = 1024
 
 
 def _times(place: int, n: int) -> np.uint64:
@@ -137,9 +140,24 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(part.column("text").to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) for x in sets], pa.int64())], names=["_row", "doc_id", "n", "fp"])
+                bits = pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([fingerprint(x) for x in sets], pa.int64()), bits], names=["_row", "doc_id", "n", "fp", "sketch"])
 
-    return texts.mapInArrow(run, f"_row long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, n long, fp long")
+    return texts.mapInArrow(run, f"_row long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, n long, fp long, sketch array<long>")
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles in SKETCH cells, 64 a number: two sets differ in as many shingles at least as their sketches in bits."""
+    odd = np.bincount((found >> _U(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule a link out: sets of sizes s and t link only if they differ in (s + t) (den - num) / (den + num) shingles at most."""
+    a, b = (sketches.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", apart.alias("apart"), (F.col("na") + F.col("nb")).alias("size"))
+    return both.filter(F.col("apart") * (den + num) <= F.col("size") * (den - num)).select("a", "b")
 
 
 def _signature_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -262,6 +280,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     scratch.release()
     members = rows.select("fp").distinct()
     one = sets.filter("n > 0").join(members, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row"))
+    sketches = scratch.keep(sets.join(one, ["fp", "_row"]).select("fp", "n", "sketch").dropDuplicates(["fp"]), "sketches")
     sources = scratch.keep(texts.select("_row", "text").join(one, "_row").select("fp", "text"), "texts")
     del one
     scratch.release()
@@ -277,22 +296,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         state = scratch.keep(here.join(open_, "sig").select("sig", "fp", "label"), f"state{n}")
         if not state.limit(1).count():
             break  # every group is one component, or all its members have met
-        links = None
+        links, later = None, None
         if n == 1:  # one pivot a group: partial minima, no ranking
             pivots = state.groupBy("sig").agg(F.min(F.struct("fp", "label")).alias("p")).select("sig", F.col("p.fp").alias("pivot"), F.col("p.label").alias("pivot_label"))
         else:
             sizes = state.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-            if n == 2:  # large groups are settled here, once and for all
-                large = scratch.keep(state.join(sizes, "sig"), "large")
-                if large.limit(1).count():
-                    links = _block_links(large, sources, workers(docs.sparkSession), k, num, den)
-                    state = scratch.keep(state.join(sizes, "sig", "left_anti"), "small")
+            large = scratch.keep(state.join(sizes, "sig"), f"large{n}")
+            if large.limit(1).count():
+                small = scratch.keep(state.join(sizes, "sig", "left_anti"), f"small{n}")
+                if n < 5:  # groups overlap: first those of which some member has no earlier one; then most others are one component
+                    lead = scratch.keep(large.groupBy("fp").agg(F.min("sig").alias("sig")).select("sig").distinct(), f"lead{n}")
+                    later = large.join(lead, "sig", "left_anti").select("sig", "fp", F.lit(False).alias("pivoted"))
+                    large = large.join(lead, "sig")
+                links = _block_links(large, sources, workers(docs.sparkSession), k, num, den)
+                state = small
             rank = F.row_number().over(Window.partitionBy("sig").orderBy("fp"))  # of at most LARGE members
             pivots = state.withColumn("rank", rank).filter(F.col("rank") <= 4 ** (n - 1)).select("sig", F.col("fp").alias("pivot"), F.col("label").alias("pivot_label"))
         pairs = state.join(pivots, "sig").filter("label <> pivot_label").select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs{n}")
+        pairs = scratch.keep(_possible(pairs, sketches, num, den), f"pairs{n}")
         tested = pairs if tested is None else tested.union(pairs)
         found = _verified(pairs, sources, k, num, den)
         links = scratch.keep(found if links is None else found.union(links), f"links{n}")
@@ -301,9 +324,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         named = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         merged = components(named, scratch, f"merge{n}").select(F.col("node").alias("label"), F.col("label").alias("new"))
         labels = scratch.keep(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), f"labels{n}")
-        scratch.drop(f"state{n - 1}", f"links{n}", *(["met"] if n == 1 else []), *(["large"] if n == 2 else []), f"labels{n - 1}")
+        scratch.drop(f"state{n - 1}", f"links{n}", f"small{n - 1}", f"large{n - 1}", f"lead{n - 1}", *(["met"] if n == 1 else []), f"labels{n - 1}")
         todo = state.join(pivots.select("sig", F.col("pivot").alias("fp"), F.lit(True).alias("was")), ["sig", "fp"], "left").select("sig", "fp", F.coalesce("was", F.lit(False)).alias("pivoted"))
-    scratch.drop("texts", *(f"pairs{i}" for i in range(1, n)), f"state{n - 1}", f"state{n}", "small")
+        todo = todo if later is None else todo.unionByName(later)
+    scratch.drop("texts", "sketches", *(f"pairs{i}" for i in range(1, n)), f"state{n - 1}", f"state{n}", *(f"{x}{n - 1}" for x in ("small", "large", "lead")))
     scratch.release()
     # component ids by fingerprint first: a fingerprint of very many copies is one row here
     least = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
