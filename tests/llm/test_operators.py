@@ -471,6 +471,35 @@ def test_passage_whose_parts_stand_in_other_documents(spark):
     assert any(r["start_word"] <= 40 and r["end_word"] >= 130 and r["similarity"] > 0.95 for r in found)
 
 
+def edited(rng, words, step):
+    return [f"e{rng.randrange(10**9)}" if at % step == step - 1 else w for at, w in enumerate(words)]
+
+
+def test_edited_passage_whose_parts_stand_in_other_documents(spark):
+    rng, texts = random.Random(43), []
+    for g in range(12):
+        passage = prose(rng, 60, 5000).split()
+        texts += [passage, edited(rng, passage, 6 + g % 4)]
+        for _ in range(12 if g % 2 else 30):
+            size = rng.randrange(30, 41) if g % 2 else rng.randrange(14, 25)
+            at = rng.randrange(61 - size)
+            texts.append(passage[at : at + size])
+    rows = [(i, f"{prose(rng, 30, 5000)} {' '.join(x)} {prose(rng, 30, 5000)}") for i, x in enumerate(texts)]
+    wanted = {(i, i + 1) for i in range(len(texts) - 1) if len(texts[i]) == len(texts[i + 1]) == 60}
+    got = {(min(r["doc_id"], r["other_id"]), max(r["doc_id"], r["other_id"])) for r in substrings.repeated_passages(corpus(spark, rows)).collect()}
+    assert len(wanted) == 12 and wanted <= got
+
+
+def test_variants_of_a_passage_are_all_paired(spark):
+    rng, texts, wanted = random.Random(47), [], set()
+    for g in range(8):
+        passage, first = prose(rng, 60, 5000).split(), len(texts)
+        texts += [f"{prose(rng, 30, 5000)} {' '.join(edited(rng, passage, step))} {prose(rng, 30, 5000)}" for step in (12, 15, 17, 20)]
+        wanted |= {(first + i, first + j) for i in range(4) for j in range(i + 1, 4)}
+    got = [(min(r["doc_id"], r["other_id"]), max(r["doc_id"], r["other_id"])) for r in substrings.repeated_passages(corpus(spark, list(enumerate(texts)))).collect()]
+    assert set(got) == wanted
+
+
 def test_longest_stretch_is_brute_forces():
     rng = np.random.default_rng(3)
     for _ in range(200):
