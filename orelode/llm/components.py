@@ -50,3 +50,18 @@ def block_components(linked: np.ndarray, ka: np.ndarray, kb: np.ndarray) -> tupl
         if (ma == la).all() and (mb == lb).all():
             return np.concatenate([na, nb]), np.concatenate([la, lb])
         la, lb = ma, mb
+
+
+def edge_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, labels) of edges between keys a[i] and b[i]: the least key that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        li, lj, new = label[i], label[j], label.copy()
+        low = np.minimum(li, lj)
+        for end in (i, j, li, lj):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new

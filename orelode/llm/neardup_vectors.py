@@ -7,9 +7,11 @@ its own cell, so counts and links are complete whatever the centres are; they on
 
 Centres are fitted on at most `sample_rows` rows; all rows are assigned. How many centres are used is
 the choice of least estimated work on that sample (one cell for vectors without clusters). Within a
-cell, blocks of at most about `block` home vectors meet blocks of members, one pair of blocks at a time;
-linked pairs stay in the task, which gives a count per home vector and one edge per linked vector to
-the least of its component in the two blocks. Equal vectors are one vector with a count.
+cell, groups of home vectors (`block` to four times as many) meet parts of its members (four times a group's). A round deals
+GROUPS groups of every cell and all members of those cells, and its shuffle files go before the next one, so the disk holds a few times
+the vectors however many groups there are; the work is all groups against all parts. Linked pairs stay in the task, which gives a count
+per home vector and one edge per linked vector to the least of its component in the group and the part. Products are taken in
+single precision and, where that leaves a doubt, again in double. Equal vectors are one vector with a count.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing, and neither do vectors of different lengths. Repeated rows link with each other. Null ids are
@@ -26,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.common import Scratch, workers
-from orelode.llm.components import block_components, components
+from orelode.llm.components import block_components, components, edge_components
 
 
 #: Rows of products with all centres that are held at once.
 ROWS = 512
+#: Groups of home vectors of a cell that a round deals, and vectors of either side whose products are held at once.
+GROUPS, TILE = 2, 2048
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -76,19 +80,31 @@ def choose_centres(sample: np.ndarray, total: int, threshold: float) -> np.ndarr
     return best
 
 
-def _unit(column) -> np.ndarray:
-    rows = np.array(column.to_pylist(), np.float64)
+def _values(column, dim: int) -> np.ndarray:
+    """Rows of a column of lists of dim numbers."""
+    return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()).reshape(-1, dim)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def block_links(a: np.ndarray, b: np.ndarray, ka: np.ndarray, kb: np.ndarray, wb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of each a (weights of b, itself left out), and edges (node, least node of its component in these blocks)."""
-    linked = np.empty((len(a), len(b)), bool)
-    for i in range(0, len(a), 512):
-        linked[i : i + 512] = a[i : i + 512] @ b.T >= threshold
-    linked &= ka[:, None] != kb[None, :]
-    counts = linked @ wb
-    return counts, *block_components(linked, ka, kb)
+def tile_links(a: np.ndarray, b: np.ndarray, a32: np.ndarray, b32: np.ndarray, ka: np.ndarray, kb: np.ndarray, threshold: float) -> np.ndarray | None:
+    """Which a link with which b (others by key), or None if none do; a32 and b32 are a and b in single precision."""
+    doubt = 1.2e-7 * (a.shape[1] + 4)
+    near = a32 @ b32.T
+    i, j = np.nonzero(near >= np.float32(threshold - doubt))
+    sure = near[i, j] >= threshold + doubt
+    for lo in range(0, len(i), 100_000):
+        some = lo + np.flatnonzero(~sure[lo : lo + 100_000])
+        sure[some] = np.einsum("ij,ij->i", a[i[some]], b[j[some]]) >= threshold
+    sure &= ka[i] != kb[j]
+    if not sure.any():
+        return None
+    linked = np.zeros(near.shape, bool)
+    linked[i[sure], j[sure]] = True
+    return linked
 
 
 def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, block: int = 4096) -> DataFrame:
@@ -96,7 +112,8 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    single_precision = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>" if single_precision else "array<double>").alias("v"))
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("key", F.when(sound, F.xxhash64(F.transform(v, lambda x: x + 0.0)))).withColumn("dim", F.size("v"))
     named = rows.select("vec_id", "key")
@@ -124,39 +141,62 @@ def _cell_links(single: DataFrame, dim: int, total: int, scratch: Scratch, thres
     name = uuid.uuid4().hex
     share = min(1.0, sample_rows / total)
     picked = single.filter(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "v").limit(sample_rows).toArrow().sort_by("key")
-    centres = choose_centres(_unit(picked.column("v")), total, threshold)
+    centres = choose_centres(_unit(_values(picked.column("v"), dim)), total, threshold)
+    kind = np.float32 if single.schema["v"].dataType.simpleString() == "array<float>" else np.float64
     shared = spark.sparkContext.broadcast(centres)
 
     def assign(batches):
         centres = shared.value
         for batch in batches:
-            x = _unit(batch.column("v"))
-            home, inside = cells_of(x, centres, threshold)
+            x = _values(batch.column("v"), dim)
+            home, inside = cells_of(_unit(x), centres, threshold)
             at, cell = np.nonzero(inside)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(cell == home[at]), batch.column("key").take(pa.array(at)), batch.column("w").take(pa.array(at)), pa.array([r.tobytes() for r in x[at]], pa.binary())], names=["cell", "home", "key", "w", "x"])
 
     members = scratch.keep(single.select("key", "w", "v").mapInArrow(assign, "cell int, home boolean, key long, w long, x binary"), f"cells-{name}", codec="lz4")
-    # a row per cell: how many blocks its home vectors and its members make
-    sizes = members.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if("home") / block)).cast("int").alias("nh"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nm"))
+    group = max(1, min(4 * block, max(block, total // 16), (64 << 20) // (12 * dim)))
+    # a row per cell: how many groups its home vectors and how many parts its members make
+    sizes = members.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if("home") / group)).cast("int").alias("nh"), F.ceil(F.count(F.lit(1)) / (4 * group)).cast("int").alias("nm"))
+    sizes = scratch.keep(sizes, f"sizes-{name}")
     sized = members.join(F.broadcast(sizes), "cell")  # at most as many rows as there are centres
     own = F.pmod(F.xxhash64("key"), F.col("nh")).cast("int")
     other = F.pmod(F.xxhash64("key", F.lit(1)), F.col("nm")).cast("int")
-    left = sized.filter("home").select("cell", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"), F.lit(0).alias("side"), "key", "w", "x")
-    right = sized.select("cell", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("i"), other.alias("j"), F.lit(1).alias("side"), "key", "w", "x")
-    dealt = left.unionByName(right).repartition(workers(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "key")
+
+    def dealt(lo: int) -> DataFrame:
+        here = sized.filter(F.col("nh") > lo)
+        last = F.least(F.col("nh"), F.lit(lo + GROUPS)) - 1
+        left = here.filter("home").withColumn("i", own).filter(F.col("i").between(lo, lo + GROUPS - 1)).select("cell", "i", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"), F.lit(0).alias("side"), "key", "w", "x")
+        right = here.select("cell", F.explode(F.sequence(F.lit(lo), last)).alias("i"), other.alias("j"), F.lit(1).alias("side"), "key", "w", "x")
+        return left.unionByName(right).repartition(workers(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
 
     def products(batches):
-        item, held = None, ([], [])
-
-        def solve():
-            (ka, _, a), (kb, wb, b) = ([np.concatenate([x[c] for x in side]) if side else None for c in range(3)] for side in held)
-            if ka is None or kb is None:
-                return None
-            counts, nodes, least = block_links(a, b, ka, kb, wb, threshold)
-            some = counts > 0
-            moved = nodes != least
+        item, held, a = None, [], None
+
+        def meet(kb, wb, xb):
+            nonlocal a
+            if a is None:
+                ka, xa = (np.concatenate([x[c] for x in held]) for c in range(2))
+                xa = _unit(xa)
+                a = ka, xa, xa.astype(np.float32), np.zeros(len(ka), np.int64), []
+            ka, xa, xa32, counts, edges = a
+            for v in range(0, len(kb), TILE):
+                kv, xv = kb[v : v + TILE], _unit(xb[v : v + TILE])
+                xv32 = xv.astype(np.float32)
+                for u in range(0, len(ka), TILE):
+                    ku = ka[u : u + TILE]
+                    linked = tile_links(xa[u : u + TILE], xv, xa32[u : u + TILE], xv32, ku, kv, threshold)
+                    if linked is not None:
+                        counts[u : u + TILE] += linked @ wb[v : v + TILE]
+                        edges.append(block_components(linked, ku, kv))
+
+        def told():
+            if a is None or not a[4]:
+                return
+            ka, counts = a[0], a[3]
+            nodes, least = edge_components(*(np.concatenate([x[c] for x in a[4]]) for c in range(2)))
+            some, moved = counts > 0, nodes != least
             n, m = int(some.sum()), int(moved.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ka[some], nodes[moved]])), pa.array([*counts[some].tolist(), *[None] * m], pa.int64()), pa.array([*[None] * n, *least[moved].tolist()], pa.int64())], names=["key", "links", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ka[some], nodes[moved]])), pa.array([*counts[some].tolist(), *[None] * m], pa.int64()), pa.array([*[None] * n, *least[moved].tolist()], pa.int64())], names=["key", "links", "other"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -166,13 +206,18 @@ def _cell_links(single: DataFrame, dim: int, total: int, scratch: Scratch, thres
             for lo, hi in zip([0, *cuts], [*cuts, len(c)], strict=True):
                 here = (c[lo], i[lo], j[lo])
                 if here != item:
-                    if item is not None and (got := solve()) is not None:
-                        yield got
-                    item, held = here, ([], [])
+                    yield from told()
+                    item, held, a = here, [], None
                 part = batch.slice(lo, hi - lo)
-                x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float64).reshape(-1, dim)
-                held[side[lo]].append((part.column("key").to_numpy(), part.column("w").to_numpy(), x))
-        if item is not None and (got := solve()) is not None:
-            yield got
-
-    return scratch.keep(dealt.mapInArrow(products, "key long, links long, other long"), f"links-{name}")
+                x = np.frombuffer(b"".join(part.column("x").to_pylist()), kind).reshape(-1, dim)
+                if side[lo] == 0:
+                    held.append((part.column("key").to_numpy(), x))
+                elif held:  # the home vectors come first
+                    meet(part.column("key").to_numpy(), part.column("w").to_numpy(), x)
+        yield from told()
+
+    for lo in range(0, sizes.agg(F.max("nh")).first()[0], GROUPS):
+        links = scratch.keep(dealt(lo).mapInArrow(products, "key long, links long, other long"), f"links-{name}", append=True)
+        scratch.release()
+    scratch.drop(f"cells-{name}")
+    return links

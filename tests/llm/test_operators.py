@@ -332,6 +332,20 @@ def test_embeddings(spark, block):
     assert all((out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (0, i, True) for i, *_ in odd)
 
 
+def test_a_round_deals_few_rows_a_vector(spark, monkeypatch):
+    rng, dealt = np.random.default_rng(14), []
+    x = rng.normal(size=(400, 16))
+    x[1::20] = x[::20] + rng.normal(size=(20, 16)) * 0.02
+    kind = type(spark.range(1))
+    whole = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: dealt.append(self.count()) or whole(self, *a))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = neardup_vectors.embedding_components(table, block=10).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert {r["vec_id"]: r["n_links"] for r in out} == dict(enumerate(((x @ x.T >= 0.95).sum(1) - 1).tolist()))
+    assert dealt and max(dealt) <= 4 * len(x)
+
+
 def test_cells_cover_all_links():
     rng = np.random.default_rng(8)
     x = np.repeat(rng.normal(size=(40, 8)), 10, axis=0) + rng.normal(size=(400, 8)) * 0.12
