@@ -34,7 +34,7 @@ from orelode.llm.components import block_components, components, edge_components
 #: Rows of products with all centres that are held at once.
 ROWS = 512
 #: Groups of home vectors of a cell that a round deals, and vectors of either side whose products are held at once.
-GROUPS, TILE = 2, 2048
+GROUPS, TILE = 1, 2048
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
