@@ -8,12 +8,16 @@ cells of one of the enumerated subsets are equal there: the pair shares that sub
 Spare groups are added, so that a signature of nothing (subsets that are empty in a set) is needed only
 by sets with more empty subsets than spare groups; so no link is lost, and empty cells make no hot keys.
 
+Only sets that may have a link get signatures. Of a set's shingles in order of their hashes, those that remain without its
+last ones, and some more (`least_shared`), are held against all other sets': linked sets share as many of these at least as
+there are more, so sets that share fewer with all others together have no link.
+
 Sets that share a signature aren't paired with each other. First every signature group compares its
 members with one pivot. Groups that then still hold several components go on: of up to `LARGE`
-members, more pivots (four times as many each round) meet the members that aren't linked with them
+members, four and then all others meet the members that aren't linked with them
 yet; larger groups are cut into blocks, and pairs of blocks are compared by matrix products within a
 task, which returns one edge per linked set. Of larger groups that overlap, a few come first, as the others are mostly
-one component then. Pairs whose sketches differ in more bits than linked sets may in shingles are never fetched. Comparisons are exact, on whole texts; exact copies of a
+one component then, and of the others, those of one block, only members whose sketch allows a link are fetched. Pairs whose sketches differ in more bits than linked sets may in shingles are never fetched. Comparisons are exact, on whole texts; exact copies of a
 set are compared once. Texts of a group never meet in one task beyond two blocks.
 
 Defined results: null and empty texts, and texts without words, have size 0 and link with nothing; they are their own
@@ -123,6 +127,17 @@ def signatures(found: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def least_shared(size, num: int, den: int):
+    """Shingles of a set's least hashes, and how many of them it shares with any one set that it links with (a tenth of what linked sets share).
+
+    A linked set has -(-size * num // den) of its shingles at least. All but that many less `few` of the set's own are its first ones; the rest
+    can't hold more than that of the common ones, so `few` at least are among the first ones, and of both sets the same.
+    """
+    both = -(-size * num // den)
+    few = -(-both // 10)
+    return size - both + few, few
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """A number for equal rows: a null id isn't an empty one, and a null text isn't an empty text."""
     return F.xxhash64(F.lit(5), doc_id.isNull(), doc_id.cast("string"), text.isNull(), text.cast("string"))
@@ -160,26 +175,47 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     return both.filter(F.col("apart") * (den + num) <= F.col("size") * (den - num)).select("a", "b")
 
 
-def _signature_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _first_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(sig, fp): of each set, the shingles of least hashes that it may share with linked sets."""
+
     def run(batches):
         held("sets")
         seen: set[int] = set()
         for batch in batches:
             for part in chunks(batch):
-                fps, sigs = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+                fps, sizes, firsts = [], [], [np.empty(0, np.uint64)]
                 if len(seen) > 500_000:
                     seen.clear()
                 for found in shingle_sets(part.column(0).to_pylist(), k):
-                    fp = fingerprint(found)
-                    if fp not in seen:  # copies of a set within a task: once
+                    if len(found) and (fp := fingerprint(found)) not in seen:  # copies of a set within a task: once
                         seen.add(fp)
-                        sigs.append(signatures(found, num, den))
-                        fps.append(np.full(len(sigs[-1]), fp, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(fps))], names=["sig", "fp"])
+                        firsts.append(found[: least_shared(len(found), num, den)[0]])
+                        fps.append(fp)
+                        sizes.append(len(firsts[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(np.array(fps, np.int64), sizes))], names=["sig", "fp"])
 
     return texts.select("text").mapInArrow(run, "sig long, fp long")
 
 
+def _signature_rows(sources: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    def run(batches):
+        held("sets")
+        for batch in batches:
+            for part in chunks(batch):
+                sigs = [signatures(found, num, den) for found in shingle_sets(part.column(1).to_pylist(), k)]
+                fps = np.repeat(part.column(0).to_numpy(), [len(x) for x in sigs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sigs]).view(np.int64)), pa.array(fps)], names=["sig", "fp"])
+
+    return sources.select("fp", "text").mapInArrow(run, "sig long, fp long")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows (sig, fp), each once, whose sig several sets have. A set has a sig once, so even one that all sets have is a small part
+    of the rows; the window reads 16 bytes a row, spills, and holds no texts."""
+    group = Window.partitionBy("sig")
+    return rows.withColumns({"lo": F.min("fp").over(group), "hi": F.max("fp").over(group)}).filter("lo < hi").select("sig", "fp").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of fingerprints whose sets link; texts has a text per fingerprint."""
     left = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
@@ -219,6 +255,39 @@ def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _may_link(groups: DataFrame, sketches: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
+    """Rows (sig, fp, label, nb) of groups of one block whose sketch allows a link with a member of another label; the others need no texts."""
+    dealt = groups.join(sketches.select("fp", "n", "sketch"), "fp").repartition(partitions, "sig").sortWithinPartitions("sig")
+
+    def solve(sig, parts):
+        fp, label, size = (np.concatenate([x[c] for x in parts]) for c in range(3))
+        bits, keep = np.concatenate([x[3] for x in parts]), np.zeros(len(fp), bool)
+        for lo in range(0, len(fp), 64):
+            here = slice(lo, lo + 64)
+            apart = np.bitwise_count(bits[here, None] ^ bits[None]).sum(2, dtype=np.int64)
+            keep[here] = ((apart * (den + num) <= (size[here, None] + size) * (den - num)) & (label[here, None] != label)).any(1)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), sig)), pa.array(fp[keep]), pa.array(label[keep]), pa.array(np.ones(int(keep.sum()), np.int32))], names=["sig", "fp", "label", "nb"])
+
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, fp, label, size = (batch.column(c).to_numpy() for c in ("sig", "fp", "label", "n"))
+            bits = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(sig), -1)
+            cuts = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig)).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if parts and sig[lo] != key:
+                    yield solve(key, parts)
+                    parts = []
+                key = sig[lo]
+                parts.append((fp[lo:hi], label[lo:hi], size[lo:hi], bits[lo:hi]))
+        if parts:
+            yield solve(key, parts)
+
+    return dealt.select("sig", "fp", "label", "n", "sketch").mapInArrow(run, "sig long, fp long, label long, nb int")
+
+
 def _block_links(groups: DataFrame, texts: DataFrame, partitions: int, k: int, num: int, den: int) -> DataFrame:
     """Edges (a, b) that connect all linked sets of each large group; groups: sig, fp, label, nb (blocks of the group)."""
     mine = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
@@ -271,18 +340,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = _texts(docs, id_col, text_col)
     sets = scratch.keep(_sets(texts, k), "sets")
-    # a set has each of its signatures once, so one signature has less than a hundredth of the rows even if all sets
-    # share it; the window reads 16 bytes a row, spills, and holds no texts
-    group = Window.partitionBy("sig")
-    met = _signature_rows(texts, k, num, den).withColumns({"lo": F.min("fp").over(group), "hi": F.max("fp").over(group)})
-    rows = scratch.keep(met.filter("lo < hi").select("sig", "fp").distinct(), "met")
-    del met
+    shared = scratch.keep(_met(_first_rows(texts, k, num, den)).groupBy("fp").agg(F.count(F.lit(1)).alias("shared")), "shared")
+    scratch.release()
+    both = F.expr(f"(n * {num} + {den - 1}) div {den}")
+    likely = sets.filter("n > 0").join(shared, "fp").filter(F.col("shared") >= F.floor((both + 9) / 10))
+    one = likely.groupBy("fp").agg(F.min(F.struct("_row", "n", "sketch")).alias("of")).select("fp", "of.*")
+    sketches = scratch.keep(one, "sketches")
+    sources = scratch.keep(texts.select("_row", "text").join(sketches.select("fp", "_row"), "_row").select("fp", "text"), "texts")
+    scratch.drop("shared")
     scratch.release()
+    rows = scratch.keep(_met(_signature_rows(sources, k, num, den)), "met")
     members = rows.select("fp").distinct()
-    one = sets.filter("n > 0").join(members, "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row"))
-    sketches = scratch.keep(sets.join(one, ["fp", "_row"]).select("fp", "n", "sketch").dropDuplicates(["fp"]), "sketches")
-    sources = scratch.keep(texts.select("_row", "text").join(one, "_row").select("fp", "text"), "texts")
-    del one
+    del shared, likely, one
     scratch.release()
     labels = scratch.keep(members.select(F.col("fp").alias("node"), F.col("fp").alias("label")), "labels0")
     tested = None
@@ -304,14 +373,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             large = scratch.keep(state.join(sizes, "sig"), f"large{n}")
             if large.limit(1).count():
                 small = scratch.keep(state.join(sizes, "sig", "left_anti"), f"small{n}")
-                if n < 5:  # groups overlap: first those of which some member has no earlier one; then most others are one component
+                if n == 2:  # groups overlap: first those of which some member has no earlier one; then most others are one component
                     lead = scratch.keep(large.groupBy("fp").agg(F.min("sig").alias("sig")).select("sig").distinct(), f"lead{n}")
                     later = large.join(lead, "sig", "left_anti").select("sig", "fp", F.lit(False).alias("pivoted"))
                     large = large.join(lead, "sig")
+                else:
+                    large = scratch.keep(_may_link(large.filter("nb = 1"), sketches, workers(docs.sparkSession), num, den).unionByName(large.filter("nb > 1").select("sig", "fp", "label", "nb")), f"likely{n}")
                 links = _block_links(large, sources, workers(docs.sparkSession), k, num, den)
                 state = small
             rank = F.row_number().over(Window.partitionBy("sig").orderBy("fp"))  # of at most LARGE members
-            pivots = state.withColumn("rank", rank).filter(F.col("rank") <= 4 ** (n - 1)).select("sig", F.col("fp").alias("pivot"), F.col("label").alias("pivot_label"))
+            pivots = state.withColumn("rank", rank).filter(F.col("rank") <= (4 if n == 2 else LARGE)).select("sig", F.col("fp").alias("pivot"), F.col("label").alias("pivot_label"))
         pairs = state.join(pivots, "sig").filter("label <> pivot_label").select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -324,10 +395,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         named = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         merged = components(named, scratch, f"merge{n}").select(F.col("node").alias("label"), F.col("label").alias("new"))
         labels = scratch.keep(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), f"labels{n}")
-        scratch.drop(f"state{n - 1}", f"links{n}", f"small{n - 1}", f"large{n - 1}", f"lead{n - 1}", *(["met"] if n == 1 else []), f"labels{n - 1}")
+        scratch.drop(f"state{n - 1}", f"links{n}", f"small{n - 1}", f"large{n - 1}", f"lead{n - 1}", f"likely{n - 1}", *(["met"] if n == 1 else []), f"labels{n - 1}")
         todo = state.join(pivots.select("sig", F.col("pivot").alias("fp"), F.lit(True).alias("was")), ["sig", "fp"], "left").select("sig", "fp", F.coalesce("was", F.lit(False)).alias("pivoted"))
         todo = todo if later is None else todo.unionByName(later)
-    scratch.drop("texts", "sketches", *(f"pairs{i}" for i in range(1, n)), f"state{n - 1}", f"state{n}", *(f"{x}{n - 1}" for x in ("small", "large", "lead")))
+    scratch.drop("texts", "sketches", *(f"pairs{i}" for i in range(1, n)), f"state{n - 1}", f"state{n}", *(f"{x}{n - 1}" for x in ("small", "large", "lead", "likely")))
     scratch.release()
     # component ids by fingerprint first: a fingerprint of very many copies is one row here
     least = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))

@@ -276,6 +276,42 @@ def test_signatures_lose_no_pair():
                 if 100 * both >= num * (len(a) + len(b) - both) and both < max(len(a), len(b)):
                     assert np.intersect1d(jaccard.signatures(a, num, 100), jaccard.signatures(b, num, 100)).size
 
+def test_linked_sets_share_their_first_shingles():
+    rng = np.random.default_rng(11)
+    for num in (80, 90):
+        for size in (1, 2, 9, 31, 150, 700):
+            for _ in range(40):
+                a = np.unique(shingles.mix(rng.integers(0, 1 << 62, size).astype(np.uint64)))
+                drop, add = int(rng.integers(0, size // 5 + 1)), int(rng.integers(0, size // 5 + 1))
+                b = np.unique(np.concatenate([rng.permutation(a)[drop:], shingles.mix(rng.integers(0, 1 << 62, add).astype(np.uint64))]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= num * (len(a) + len(b) - both):
+                    (na, few_a), (nb, few_b) = (jaccard.least_shared(len(x), num, 100) for x in (a, b))
+                    assert few_a >= 1 and len(np.intersect1d(a[:na], b[:nb])) >= max(few_a, few_b)
+
+
+def test_only_sets_that_may_link_get_signatures(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = prose(rng, 12)
+    texts = [(i, f"{passage} {prose(rng, 200, 10**6)}") for i in range(60)]
+    texts += [(100, f"{texts[3][1]} more"), (101, texts[3][1]), (102, f"{texts[9][1]} else")]
+    dealt, rows = [], jaccard._signature_rows
+    monkeypatch.setattr(jaccard, "_signature_rows", lambda texts, *a: dealt.append(texts.count()) or rows(texts, *a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(corpus(spark, texts)).collect()}
+    assert got == {i: {100: 3, 101: 3, 102: 9}.get(i, i) for i, _ in texts}
+    assert dealt == [4]
+
+def test_blocks_get_only_members_that_may_link(spark):
+    rng = random.Random(22)
+    base = prose(rng, 200, 10**6).split()
+    texts = [(i, prose(rng, 200, 10**6)) for i in range(50)] + [(100, " ".join(base)), (101, " ".join([*base, "more"])), (102, " ".join([*base, "else"]))]
+    sets = jaccard._sets(jaccard._texts(corpus(spark, texts), "doc_id", "text"), 5).cache()
+    fp = {r["doc_id"]: r["fp"] for r in sets.collect()}
+    label = {**fp, 102: fp[101]}  # 101 and 102 are one component already
+    groups = spark.createDataFrame([(s, fp[i], label[i], 1) for s in (1, 2) for i, _ in texts if s == 1 or i != 100], "sig long, fp long, label long, nb int")
+    got = {(r["sig"], r["fp"]) for r in jaccard._may_link(groups, sets, 3, 80, 100).collect()}
+    assert got == {(1, fp[i]) for i in (100, 101, 102)}
+
 
 # -- 5 ---------------------------------------------------------------------------------
 
