@@ -560,6 +560,30 @@ def test_longest_stretch_is_brute_forces():
         assert sums[i, j] >= 0 and j - i == max(j - i for (i, j), x in sums.items() if x >= 0)
 
 
+def test_lone_matches_are_extended_together_as_one_by_one():
+    rng = np.random.default_rng(29)
+    for n in range(80):
+        wa = rng.integers(0, 5 if n % 2 else 3000, int(rng.integers(60, 500))).astype(np.uint64)
+        at, wb = int(rng.integers(0, len(wa) - 55)), rng.integers(0, 5 if n % 2 else 3000, int(rng.integers(0, 300))).astype(np.uint64)
+        copy = wa[at : at + int(rng.integers(20, 400))].copy()
+        copy[rng.random(len(copy)) < 0.1] = 9999
+        wb = np.concatenate([wb[: len(wb) // 2], copy, wb[len(wb) // 2 :]])
+        a, b, sizes = substrings.matched(shingles.shingle_hashes(wa, 4), shingles.shingle_hashes(wb, 4), 4)
+        alone = [substrings.passages(wa, wb, a[i : i + 1], b[i : i + 1], sizes[i : i + 1], 50, 0.8) for i in range(len(a))]
+        for width in (16, 64):
+            assert substrings.lone_passages(wa, wb, a, b, sizes, 50, 0.8, width=width) == alone
+
+
+def test_matches_with_little_around_them_arent_aligned_one_by_one(monkeypatch):
+    rng, calls, real = random.Random(31), [], substrings.passages
+    monkeypatch.setattr(substrings, "passages", lambda *x: calls.append(x) or real(*x))
+    runs, body = [prose(rng, 12, 5000) for _ in range(200)], prose(rng, 60, 5000)
+    one, two = (f"{' '.join(f'{x} {prose(rng, 12, 5000)}' for x in order)} {body} {prose(rng, 20, 5000)}" for order in (runs, runs[::-1]))
+    wa, wb = (shingles.word_hashes([x])[0] for x in (one, two))
+    found = substrings.aligned(wa, wb, shingles.shingle_hashes(wa, 4), shingles.shingle_hashes(wb, 4), 4, 0.05, 7, 62, 50, 0.8)
+    assert [x[:4] for x in found] == [(4800, 4860, 4800, 4860)] and len(calls) <= 5
+
+
 def test_chain_takes_collinear_matches():
     a, b = np.array([0, 10, 20, 30, 15, 5]), np.array([100, 110, 120, 130, 7, 300])
     best = substrings.chain(a, b, 8, 0.05)[0]
