@@ -39,7 +39,7 @@ WHERE k <= greatest(CAST(floor(total * 0.1) AS BIGINT), 1) AND n >= 2""")
 def hotspot_top_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The busiest tenth by change count, joined with the worst measure per key."""
     churn = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    worst = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.max(F.floor("o_totalprice") + (F.bround(F.col("o_totalprice") - F.floor("o_totalprice"), 0))).cast("long").alias("cc"))
+    worst = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.max(F.rint("o_totalprice").cast("long")).alias("cc"))
     top = ranking.top_fraction(churn, "n", "file").filter("n >= 2")
     return top.join(worst, "file", "left").select("file", "n", F.coalesce("cc", F.lit(0)).alias("cc"))
 

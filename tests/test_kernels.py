@@ -42,6 +42,16 @@ def test_query_equals_sql(spark, duck, name):
     assert got == wanted
 
 
+def test_halves_go_to_the_even_neighbour(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(40) for _ in range(3)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(k, k + 0.5) for k in range(40)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    for t in ("events", "orders"):
+        duck.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = sorted(map(tuple, registry.QUERIES["hotspot_top_fraction"](spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.execute(registry.ORACLES["hotspot_top_fraction"]).fetchall()) == [(k, 3, k + k % 2) for k in range(36, 40)]
+
+
 def test_dice_equals_brute_force(spark):
     rng = random.Random(1)
     bases = [[rng.choice("abcdefgh") for _ in range(rng.randrange(3, 40))] for _ in range(12)]
