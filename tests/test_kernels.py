@@ -78,6 +78,43 @@ def test_dice_equals_brute_force(spark):
     assert got == wanted and len(wanted) > 30
 
 
+def shuffled(spark):
+    """Bytes of shuffle files written in this session so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
+def test_first_partners_are_the_least_of_pairs(spark):
+    rng = random.Random(2)
+    bases = [[rng.choice("abcdefgh") for _ in range(rng.randrange(3, 60))] for _ in range(8)]
+    rows = []
+    for i in range(120):
+        t = list(rng.choice(bases))
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            t[rng.randrange(len(t))] = rng.choice("abcdefghz")
+        rows.append((i, t[: len(t) - rng.choice((0, 0, 0, 1, 2))]))
+    df = spark.createDataFrame(rows, "id int, tokens array<string>").repartition(5)
+    pairs = {(r["a"], r["b"]) for r in similarity.dice_pairs(df, "id", "tokens").collect()}
+    least = {a: min(y for x, y in pairs if x == a) for a, _ in pairs}
+    assert len(least) > 60 and {r["a"]: r["b"] for r in similarity.first_partners(df, "id", "tokens").collect()} == least
+
+
+@pytest.mark.parametrize("name", ["near_duplicate_docs", "near_duplicate_two_keys"])
+def test_near_copies_travel_no_more_than_a_few_times(spark, tmp_path, name):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6))
+    base, rows = [word() for _ in range(400)], []
+    for i in range(200):
+        t = list(base)
+        for _ in range(3):
+            t[rng.randrange(400)] = word()
+        rows.append((i, " ".join(t), "en", f"s{i}"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = shuffled(spark)
+    found = registry.QUERIES[name](spark, str(tmp_path)).count()
+    assert found == {"near_duplicate_docs": 199, "near_duplicate_two_keys": 200 * 199 // 2}[name]
+    assert shuffled(spark) - before < 5 * sum(len(r[1]) for r in rows)
+
+
 def test_graphs(spark):
     edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 5), (6, 7), (8, 9), (9, 10), (10, 8), (10, 4), (12, 11)]
     df = spark.createDataFrame(edges, "src int, dst int")
