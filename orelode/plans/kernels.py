@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orelode.functions import text as T
-from orelode.operators import graphs, ranking, similarity
+from orelode.operators import graphs, ranking, runs, similarity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -129,10 +129,8 @@ g AS (SELECT doc_id, source, unnest(list_transform(range(1, len(t) - 3), lambda
 SELECT run, count(DISTINCT source) AS sources, count(DISTINCT doc_id) AS docs, count(*) AS uses, min(doc_id) AS first_doc FROM g GROUP BY run HAVING count(DISTINCT source) >= 2 AND count(*) >= 3""")
 def shared_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words in two and more modules with their distinct counts and first site."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", T.ngrams(T.words(F.col("text")), 5).alias("runs"))
-    uses = docs.select("doc_id", "source", F.explode("runs").alias("run"))
-    sites = uses.groupBy("run", "source", "doc_id").agg(F.count(F.lit(1)).alias("u"))
-    return sites.groupBy("run").agg(F.countDistinct("source").alias("sources"), F.countDistinct("doc_id").alias("docs"), F.sum("u").alias("uses"), F.min("doc_id").alias("first_doc")).filter("sources >= 2 and uses >= 3")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", T.words(F.col("text")).alias("tokens"))
+    return runs.shared_runs(docs, "doc_id", "source", "tokens", 5).filter("sources >= 2 and uses >= 3")
 
 
 @query("""

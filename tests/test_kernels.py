@@ -115,6 +115,21 @@ def test_near_copies_travel_no_more_than_a_few_times(spark, tmp_path, name):
     assert shuffled(spark) - before < 5 * sum(len(r[1]) for r in rows)
 
 
+def test_shared_runs_are_shuffled_by_keys(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6))
+    common, pool = [word() for _ in range(30)], [word() for _ in range(2000)]
+    rows = [(i // 2 if i < 4 else i, " ".join([*common, *(rng.choice(pool) for _ in range(400)), *["again"] * (i % 9)]), f"s{i % 5}" if i % 7 else None) for i in range(300)]
+    rows += [(300, None, "s1"), (301, "", "s2"), (None, " ".join(common[:9]), "s3"), (None, "one two three four five six", "s3"), (None, "one two three four five six " * 2, "s4")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    before = shuffled(spark)
+    got = sorted(map(tuple, registry.QUERIES["shared_run"](spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.execute(registry.ORACLES["shared_run"]).fetchall()) and len(got) > 26
+    assert shuffled(spark) - before < 2 * sum(len(r[1] or "") for r in rows)
+
+
 def test_graphs(spark):
     edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 5), (6, 7), (8, 9), (9, 10), (10, 8), (10, 4), (12, 11)]
     df = spark.createDataFrame(edges, "src int, dst int")
