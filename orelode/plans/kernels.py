@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from orelode.functions import text as T
 from orelode.operators import graphs, ranking, runs, similarity
 
+#: rows of a partition of data_clump_pairs
+CLUMP_ROWS = 100_000
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -212,11 +215,14 @@ def single_child_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH i AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS p FROM lineitem)
 SELECT a.p AS a, b.p AS b, count(*) AS functions, min(a.o) AS anchor FROM i a JOIN i b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= 3""")
 def data_clump_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parameters that three and more functions take together. A function's set is one array, so pairs come without a self-join."""
-    sets = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("ps")).filter(F.size("ps") > 1)
-    pair = F.flatten(F.transform("ps", lambda x, i: F.transform(F.slice("ps", i + 2, F.size("ps")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = sets.select("o", F.explode(pair).alias("p"))
-    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("functions"), F.min("o").alias("anchor")).filter("functions >= 3")
+    """Pairs of parameters that three and more functions take together. A function's set is one array, so pairs come without a self-join; partitions are dealt by the number of rows, so a task's tables don't grow with the input."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("p"))
+    parts = lines.count() // CLUMP_ROWS + 1
+    sets = lines.dropna().repartition(parts, "o").groupBy("o").agg(F.array_sort(F.collect_set("p")).alias("ps")).filter(F.size("ps") > 1)
+    # a row for each member first, so that no row holds the square of a large set
+    first = sets.select("o", "ps", F.explode("ps").alias("a"))
+    pairs = first.select("o", "a", F.explode(F.filter("ps", lambda y: y > F.col("a"))).alias("b"))
+    return pairs.repartition(2 * parts, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("functions"), F.min("o").alias("anchor")).filter("functions >= 3")
 
 
 @query("""

@@ -130,6 +130,17 @@ def test_shared_runs_are_shuffled_by_keys(spark, tmp_path):
     assert shuffled(spark) - before < 2 * sum(len(r[1] or "") for r in rows)
 
 
+def test_clump_pairs_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    rows = [(o, (o * 7 + k * k) % 13) for o in range(400) for k in range(4)] + [(None, k) for k in range(5) for _ in range(4)] + [(o, None) for o in range(9)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    monkeypatch.setattr("orelode.plans.kernels.CLUMP_ROWS", 100, raising=False)
+    found = registry.QUERIES["data_clump_pairs"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 2 * (len(rows) // 100 + 1)
+    assert sorted(map(tuple, found.collect())) == sorted(duck.execute(registry.ORACLES["data_clump_pairs"]).fetchall())
+
+
 def test_graphs(spark):
     edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 5), (6, 7), (8, 9), (9, 10), (10, 8), (10, 4), (12, 11)]
     df = spark.createDataFrame(edges, "src int, dst int")
